@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evispark.operators import units
+from evispark.tables import table
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each stated value of a listed quantity in its common unit; entities are elements."""
+    occ = table(spark, sf, "occurrences").select("occ_id", "element_id", "quote", "values_json")
+    found = units.harmonise(occ, table(spark, sf, "unit_targets"), "occ_id", "element_id", "quote", "values_json")
+    text = found.select(F.col("key").alias("occ_id"), "quantity", units.exponent_text("lo").alias("lo"), units.exponent_text("hi").alias("hi"))
+    return text.distinct()
+
+
+QUERIES: dict[str, Query] = {"p4_found": p4_found}
+SQL: dict[str, str] = {}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
