@@ -46,7 +46,7 @@ def cooccurring_pairs(rows: DataFrame, items: DataFrame, basket: str = "basket",
     if keep.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else the same pairs are dropped after counting
         bounded = [r[0] for r in keep.select("_code").orderBy("_code").collect()]
         slim = sets.withColumn("items", F.array_sort(F.array_intersect("items", F.array(*map(F.lit, bounded)).cast("array<int>"))))
-    slim = slim.where("size(items) > 1")
+    slim = slim.where("size(items) > 1").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "items")  # few bytes, many pairs
     left = slim.select(F.posexplode("items").alias("_p", "_a"), "items", "weight")
     both = left.select("_a", F.explode(F.expr("slice(items, _p + 2, size(items))")).alias("_b"), "weight")
     both = both.select((F.shiftleft(F.col("_a").cast("long"), 32) + F.col("_b")).alias("_ab"), "weight")
