@@ -7,13 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import cooccurrence, setjoin
+from evispark.llm import canonical, cooccurrence, setjoin
 from evispark.llm.common import trimmed_lower
 from evispark.tables import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _p3(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    occ = table(spark, sf, "occurrences").where("element_id is null and occ_id is not null")
+    typed = F.struct(F.coalesce("facet", F.lit("")).alias("facet"), F.coalesce("surface", F.lit("")).alias("surface"))
+    rows = occ.groupBy("occ_id").agg(F.max_by(typed, "loaded_at").alias("v")).select("occ_id", "v.*")
+    return rows, canonical.map_values(occ.select("facet", "surface").where("facet is not null and surface is not null"), table(spark, sf, "elements"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows, mapped = _p3(spark, sf)
+    return rows.join(mapped, ["facet", "surface"], "left").select("occ_id", F.coalesce("element_id", F.lit(canonical.UNMATCHED)).alias("element_id"))
+
+
+def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The values without an entry and the number of rows that hold each."""
+    rows, mapped = _p3(spark, sf)
+    counts = rows.groupBy("facet", "surface").agg(F.count("*").alias("rows"))
+    return counts.join(mapped.where(F.col("element_id") != canonical.UNMATCHED), ["facet", "surface"], "left_anti")
+
+
 def _p6(spark: SparkSession, sf: str) -> DataFrame:
     occ = table(spark, sf, "occurrences").where(trimmed_lower(F.col("role")) == "used")
     rows = occ.select(F.col("paper_id").alias("basket"), F.col("element_id").alias("item"))
@@ -67,7 +86,7 @@ with last as (select paper_id, arg_max(struct_pack(d := domain_tags, m := method
  hit as (select pa, pb from shared join n x on x.paper_id = pa join n y on y.paper_id = pb where s >= 0.6 * (x.n + y.n - s))
 """
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links}
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links}
 SQL: dict[str, str] = {
     "p6_found": _P6 + "select element_a, element_b from hit",
     "p6_pairs": _P6 + """select element_a, element_b, n, n_a, n_b, n_ab, round(n_ab * n / (n_a * n_b), 6) lift,
