@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import canonical, cooccurrence, setjoin
+from evispark.llm import canonical, cooccurrence, matching, setjoin
 from evispark.llm.common import trimmed_lower
 from evispark.tables import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Each matching citation and article with its confidence."""
+    fields = ["title", "doi", "year", "journal", "authors"]
+    cit = latest(table(spark, sf, "citations"), ["citation_id"], "harvested_at", fields)
+    art = latest(table(spark, sf, "articles"), ["article_id"], "exported_at", fields)
+    return matching.match_works(cit, art, "citation_id", "article_id")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_matches(spark, sf).select("citation_id", "article_id")
+
+
 def _p3(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     occ = table(spark, sf, "occurrences").where("element_id is null and occ_id is not null")
     typed = F.struct(F.coalesce("facet", F.lit("")).alias("facet"), F.coalesce("surface", F.lit("")).alias("surface"))
@@ -86,7 +98,7 @@ with last as (select paper_id, arg_max(struct_pack(d := domain_tags, m := method
  hit as (select pa, pb from shared join n x on x.paper_id = pa join n y on y.paper_id = pb where s >= 0.6 * (x.n + y.n - s))
 """
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p3_unmatched": p3_unmatched, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links}
 SQL: dict[str, str] = {
     "p6_found": _P6 + "select element_a, element_b from hit",
     "p6_pairs": _P6 + """select element_a, element_b, n, n_a, n_b, n_ab, round(n_ab * n / (n_a * n_b), 6) lift,
