@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import canonical, cooccurrence, matching, setjoin
+from evispark.llm import canonical, cooccurrence, matching, names, setjoin
 from evispark.llm.common import trimmed_lower
 from evispark.tables import latest, table
 
@@ -26,6 +26,21 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_matches(spark, sf).select("citation_id", "article_id")
 
 
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    lists = [table(spark, sf, t).select(F.explode("authors").alias("name")) for t in ("authors", "articles")]
+    return names.entities(lists[0].unionAll(lists[1]))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.variant_pairs(_names(spark, sf))
+
+
+def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per spelling with its entity and the number of spellings that entity has."""
+    named = _names(spark, sf)
+    return named.join(named.groupBy("entity").agg(F.count("*").alias("spellings")), "entity").select("name", "entity", "spellings")
+
+
 def _p3(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     occ = table(spark, sf, "occurrences").where("element_id is null and occ_id is not null")
     typed = F.struct(F.coalesce("facet", F.lit("")).alias("facet"), F.coalesce("surface", F.lit("")).alias("surface"))
@@ -98,7 +113,7 @@ with last as (select paper_id, arg_max(struct_pack(d := domain_tags, m := method
  hit as (select pa, pb from shared join n x on x.paper_id = pa join n y on y.paper_id = pb where s >= 0.6 * (x.n + y.n - s))
 """
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_matches": p1_matches, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links}
 SQL: dict[str, str] = {
     "p6_found": _P6 + "select element_a, element_b from hit",
     "p6_pairs": _P6 + """select element_a, element_b, n, n_a, n_b, n_ab, round(n_ab * n / (n_a * n_b), 6) lift,
