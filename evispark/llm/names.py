@@ -223,12 +223,14 @@ def entities(names: DataFrame) -> DataFrame:
 
     made = cut(spelt.mapInPandas(build, "name string, family string, given string, initials string"))
     made = made.withColumn("first", F.when(F.col("given") != "", F.substring("given", 1, 1)).otherwise(F.substring("initials", 1, 1)))
-    moved = _rare_families(made, pairs)
+    moved = cut(_rare_families(made, pairs))
     parts = made.where("family not like 'org %'").select("name", "first", F.posexplode(F.split("family", " ")).alias("pos", "w"))
     respelt = parts.join(moved, ["w", "first"], "left").groupBy("name").agg(F.array_sort(F.collect_list(F.coalesce("to", "w"))).alias("fs"))  # the words of one name
-    made = made.join(respelt, "name", "left").withColumn("family", F.coalesce(F.array_join("fs", " "), "family")).drop("fs")
+    made = cut(made.join(respelt, "name", "left").withColumn("family", F.coalesce(F.array_join("fs", " "), "family")).drop("fs"))
+    halves = _half_families(made)
+    made = cut(made.join(halves, ["family", "first", "given"], "left").withColumn("family", F.coalesce("to", "family")).drop("to"))
     orgs = _rare_collectives(made, pairs)
-    made = made.join(orgs, "family", "left").withColumn("family", F.coalesce("to", "family")).drop("to")
+    made = cut(made.join(orgs, "family", "left").withColumn("family", F.coalesce("to", "family")).drop("to"))
     full = made.where("given <> ''").groupBy("family", "first").agg(F.countDistinct("given").alias("k"), F.min("given").alias("only"))
     middle = F.when(F.col("given") == "", F.substring("initials", 2, 1)).otherwise(F.substring("initials", 1, 1))
     made = made.withColumn("middle", middle)
@@ -268,6 +270,19 @@ def _rare_families(made: DataFrame, pairs: DataFrame) -> DataFrame:
     return one.join(two, ["to", "first"], "left").select("w", "first", F.coalesce("final", "to").alias("to"))
 
 
+def _half_families(made: DataFrame) -> DataFrame:
+    """(family, first, given, to): single family names that are half of one double name borne with the same given name or initial, and stand no more often alone."""
+    people = made.where("first <> '' and family not like 'org %'")
+    double = people.where("family like '% %'").select("name", F.explode(F.split("family", " ")).alias("w"), F.col("family").alias("to"), "first", F.col("given").alias("g2"))
+    single = people.where("family not like '% %'")
+    often = double.groupBy("w").agg(F.count("*").alias("cd")).join(single.groupBy(F.col("family").alias("w")).agg(F.count("*").alias("cs")), "w").where("cs <= cd").select("w")
+    names = single.select(F.col("family").alias("w"), "first", "given").distinct().join(often, "w")
+    wholes = double.select("w", "to", "first", "g2").distinct()
+    fits = (F.col("given") == F.col("g2")) | (F.col("given") == "") | (F.col("g2") == "")
+    found = names.join(wholes, ["w", "first"]).where(fits).groupBy("w", "first", "given").agg(F.countDistinct("to").alias("k"), F.min("to").alias("to"))
+    return found.where("k = 1").select(F.col("w").alias("family"), "first", "given", "to")
+
+
 def _rare_collectives(made: DataFrame, pairs: DataFrame) -> DataFrame:
     """(family, to): collective names that differ from a better known one in a single word, by a neighbour of the trie join."""
     orgs = made.where("family like 'org %'").groupBy("family").agg(F.count("*").alias("c"))
