@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import canonical, cooccurrence, leakage, matching, names, setjoin
+from evispark.llm import canonical, cooccurrence, leakage, matching, names, scans, setjoin
 from evispark.llm.common import trimmed_lower
 from evispark.tables import latest, table
 
@@ -60,6 +60,22 @@ def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return counts.join(mapped.where(F.col("element_id") != canonical.UNMATCHED), ["facet", "surface"], "left_anti")
 
 
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    fields = ["paper_id", "section_title", "text", "page_start", "page_end"]
+    rows = latest(table(spark, sf, "reading_blocks"), ["reading_block_id"], "loaded_at", fields).where("reading_block_id is not null")
+    return rows.toDF("id", "paper", "title", "text", "first", "last")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    _, items = scans.repairs(_blocks(spark, sf))
+    return items.select(F.col("id").alias("reading_block_id"), "field", "kind", "item").distinct()
+
+
+def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Title and text of each block as continuous readable paragraphs."""
+    return scans.repaired(*scans.repairs(_blocks(spark, sf))).withColumnRenamed("id", "reading_block_id")
+
+
 def _p6(spark: SparkSession, sf: str) -> DataFrame:
     occ = table(spark, sf, "occurrences").where(trimmed_lower(F.col("role")) == "used")
     rows = occ.select(F.col("paper_id").alias("basket"), F.col("element_id").alias("item"))
@@ -123,7 +139,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_leaks(spark, sf).select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links, "p9_found": p9_found, "p9_leaks": p9_leaks}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links, "p9_found": p9_found, "p9_leaks": p9_leaks}
 SQL: dict[str, str] = {
     "p6_found": _P6 + "select element_a, element_b from hit",
     "p6_pairs": _P6 + """select element_a, element_b, n, n_a, n_b, n_ab, round(n_ab * n / (n_a * n_b), 6) lift,
