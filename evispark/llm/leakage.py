@@ -7,12 +7,13 @@ verified by aligning their words with the document, in order, with room for miss
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from evispark.llm.distance import osa
 
 #: Items that one index holds; more are searched in as many passes over the documents as it needs.
 PART = 20_000
-BLOCK = 64
+BLOCK = 16
 K1, B = 1.2, 0.75
 WINDOW, STRIDE = 128, 64
 _WORD = re.compile(r"[^\W_]+")
@@ -44,73 +45,67 @@ class Index:
         n = len(items)
         mean = sum(map(len, self.texts)) / max(1, n)
         df = Counter(t for ws in self.texts for t in set(ws))
-        self.postings: dict[str, tuple[list[int], list[float], list[float], float]] = {}
+        self.postings: dict[str, tuple[np.ndarray, ...]] = {}
+        self.most: dict[str, float] = {}
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, ws in enumerate(self.texts):
             impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(ws) / mean)) for t, c in Counter(ws).items()}
             full = sum(impact.values()) or 1.0
             for t, w in impact.items():
                 lists[t].append((i, w / full))
+        self.size, self.blocks = n, -(-n // BLOCK)
         for t, ps in lists.items():
-            ws = [w for _, w in ps]
-            self.postings[t] = ([i for i, _ in ps], ws, [max(ws[k : k + BLOCK]) for k in range(0, len(ws), BLOCK)], max(ws))
+            ids, ws = np.array([i for i, _ in ps]), np.array([w for _, w in ps])
+            own, first = np.unique(ids // BLOCK, return_index=True)
+            self.postings[t] = (ids, ws, ids // BLOCK, own, np.maximum.reduceat(ws, first))
+            self.most[t] = float(ws.max())
 
     def search(self, terms: set[str], threshold: float) -> list[tuple[int, float]]:
-        """Items whose impacts in `terms` sum to the threshold or more, by WAND with block maxima. Nothing above is missed."""
-        lists = [self.postings[t] for t in terms if t in self.postings]
-        if sum(x[3] for x in lists) < threshold:
+        """Items whose impacts in `terms` sum to the threshold or more. Nothing above is missed.
+
+        Block-max WAND, a block at a time: lists are weighed by their greatest impacts first, then by the greatest of each block of
+        items; only blocks whose bounds reach the threshold are opened and scored.
+        """
+        own = [t for t in terms if t in self.postings]
+        if sum(self.most[t] for t in own) < threshold:
+            return []
+        bound = np.zeros(self.blocks)
+        for t in own:
+            _, _, _, blocks, maxima = self.postings[t]
+            bound[blocks] += maxima
+        opened = bound >= threshold
+        if not opened.any():
             return []
-        at = [0] * len(lists)
-        heap = [(x[0][0], k) for k, x in enumerate(lists)]
-        heapq.heapify(heap)
-        out = []
-        while heap:
-            taken, bound, pivot = [], 0.0, None
-            while heap:  # the first lists whose greatest impacts could reach the threshold
-                d, k = heapq.heappop(heap)
-                taken.append((d, k))
-                bound += lists[k][3]
-                if bound >= threshold:
-                    pivot = d
-                    break
-            if pivot is None:
-                break
-            while heap and heap[0][0] == pivot:
-                taken.append(heapq.heappop(heap))
-            blocks = 0.0
-            for _, k in taken:  # move shallowly to the block of the pivot
-                ids, _, maxima, _ = lists[k]
-                b = at[k] // BLOCK
-                while b < len(maxima) and ids[min(len(ids), (b + 1) * BLOCK) - 1] < pivot:
-                    b += 1
-                blocks += maxima[b] if b < len(maxima) else 0.0
-            score = 0.0
-            for _, k in taken:
-                ids, ws, _, _ = lists[k]
-                p = at[k]
-                while p < len(ids) and ids[p] < pivot:
-                    p += 1
-                if p < len(ids) and ids[p] == pivot:
-                    if blocks >= threshold:
-                        score += ws[p]
-                    p += 1
-                at[k] = p
-                if p < len(ids):
-                    heapq.heappush(heap, (ids[p], k))
-            if score >= threshold:
-                out.append((pivot, score))
-        return out
+        score = np.zeros(self.size)
+        for t in own:
+            ids, ws, at, _, _ = self.postings[t]
+            inside = opened[at]
+            score[ids[inside]] += ws[inside]
+        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= threshold)]
+
+
+@lru_cache(maxsize=1 << 17)
+def _letters(w: str) -> int:
+    bits = 0
+    for c in w:
+        bits |= 1 << (ord(c) & 63)
+    return bits
 
 
 def same(a: str, b: str) -> bool:
-    return a == b or (len(a) > 3 and len(b) > 3 and abs(len(a) - len(b)) < 3 and osa(a, b, 1 if min(len(a), len(b)) < 6 else 2) <= (1 if min(len(a), len(b)) < 6 else 2))
+    """Equal but for one edit, or two from six letters on; words of up to three letters must be equal."""
+    if a == b:
+        return True
+    least = min(len(a), len(b))
+    most = 0 if least < 4 else 1 if least < 6 else 2
+    return bool(most) and abs(len(a) - len(b)) <= most and (_letters(a) ^ _letters(b)).bit_count() <= 2 * most and osa(a, b, most) <= most
 
 
-def aligned(item: list[str], text: list[str]) -> tuple[int, int, int]:
+def aligned(item: list[str], text: list[str], known: Container[str] = ()) -> tuple[int, int, int]:
     """(matched words, first position, end position) of the best local alignment of `item` in `text`, words in order.
 
     A match counts 1, a skipped word of the item or a replaced one costs 0.4, one of the text 0.3; so a short interruption is
-    bridged and chance words far off are not worth their way.
+    bridged and chance words far off are not worth their way. Words in `known` are spelt right and stand for themselves only.
     """
     n = len(item)
     vocabulary: dict[str, list[bool]] = {}
@@ -119,7 +114,7 @@ def aligned(item: list[str], text: list[str]) -> tuple[int, int, int]:
     for j, w in enumerate(text):
         like = vocabulary.get(w)
         if like is None:
-            like = vocabulary[w] = [same(x, w) for x in item]
+            like = vocabulary[w] = [x == w for x in item] if w in known else [same(x, w) for x in item]
         diagonal, dh, ds = 0.0, 0, j
         for i in range(1, n + 1):
             s, h, b = score[i] - 0.3, hits[i], start[i]
@@ -170,7 +165,7 @@ def leaks(documents: DataFrame, items: DataFrame, retrieve: float = 0.22, share:
 def scan_text(index: Index, text: str, retrieve: float, share: float, least: int) -> list[tuple[int, float, int, bool]]:
     """(item, share, matched, answer near) of one text."""
     ws = words(text)
-    if sum(x[3] for t in set(ws) if (x := index.postings.get(t))) < retrieve:
+    if sum(index.most.get(t, 0.0) for t in set(ws)) < retrieve:
         return []
     spans: dict[int, list[list[int]]] = {}
     for at in range(0, max(1, len(ws) - STRIDE), STRIDE):
@@ -184,11 +179,11 @@ def scan_text(index: Index, text: str, retrieve: float, share: float, least: int
                 own.append([lo, hi])
     out = []
     for i, own in spans.items():
-        need = max(2, 0.14 * len(index.texts[i]))  # neighbouring words that any such passage keeps
+        need = max(2, 0.2 * len(index.texts[i]))  # neighbouring words that any such passage keeps
         own = [x for x in own if sum(b in index.bigrams[i] for b in zip(ws[x[0] : x[1]], ws[x[0] + 1 : x[1]])) >= need]
         if not own:
             continue
-        best = max((aligned(index.texts[i], ws[lo:hi]) + (lo,) for lo, hi in own), key=lambda x: x[0])
+        best = max((aligned(index.texts[i], ws[lo:hi], index.postings) + (lo,) for lo, hi in own), key=lambda x: x[0])
         n, first, end, lo = best
         if n >= least and n >= share * len(index.texts[i]):
             answer = index.answers[i]
