@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import canonical, cooccurrence, leakage, matching, names, scans, setjoin
+from evispark.llm import canonical, cooccurrence, leakage, matching, names, scans, setjoin, subjects
 from evispark.llm.common import trimmed_lower
+from evispark.session import cut
 from evispark.tables import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,7 +140,25 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return p9_leaks(spark, sf).select("doc_id", "item_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links, "p9_found": p9_found, "p9_leaks": p9_leaks}
+def p10_subjects(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document and subject with its probability."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "section_kind")
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "doc_id")
+    return subjects.assign(docs, table(spark, sf, "doc_labels"), table(spark, sf, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_subjects(spark, sf).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents per subject and their share of all documents that have one."""
+    found = cut(p10_found(spark, sf))
+    total = found.select("doc_id").distinct().count()
+    return found.groupBy("subject").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / F.lit(max(1, total)))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_subjects": p10_subjects, "p10_composition": p10_composition}
 SQL: dict[str, str] = {
     "p6_found": _P6 + "select element_a, element_b from hit",
     "p6_pairs": _P6 + """select element_a, element_b, n, n_a, n_b, n_ab, round(n_ab * n / (n_a * n_b), 6) lift,
