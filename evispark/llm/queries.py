@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import canonical, cooccurrence, leakage, matching, names, scans, setjoin, subjects
+from evispark.llm import canonical, cooccurrence, leakage, matching, names, packing, scans, setjoin, subjects
 from evispark.llm.common import trimmed_lower
 from evispark.session import cut
 from evispark.tables import latest, table
@@ -130,6 +130,23 @@ with last as (select paper_id, arg_max(struct_pack(d := domain_tags, m := method
  hit as (select pa, pb from shared join n x on x.paper_id = pa join n y on y.paper_id = pb where s >= 0.6 * (x.n + y.n - s))
 """
 
+CAPACITY = 2048
+#: Folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of each piece of each text, in containers of CAPACITY tokens."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "doc_id")
+    packed = packing.pack(packing.token_counts(docs, "doc_id", "text", TOKENIZERS), CAPACITY)
+    return packed.select(F.col("key").alias("doc_id"), "piece", "start", "size", "container")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(p8_pack(spark, sf), CAPACITY)
+
+
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Each affected document and item with the share of the item found and whether its answer stands near."""
     docs = table(spark, sf, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, "doc_id")
@@ -158,7 +175,7 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("subject").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / F.lit(max(1, total)))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_subjects": p10_subjects, "p10_composition": p10_composition}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_matches": p1_matches, "p2_found": p2_found, "p2_entities": p2_entities, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_found": p7_found, "p7_links": p7_links, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_subjects": p10_subjects, "p10_composition": p10_composition}
 SQL: dict[str, str] = {
     "p6_found": _P6 + "select element_a, element_b from hit",
     "p6_pairs": _P6 + """select element_a, element_b, n, n_a, n_b, n_ab, round(n_ab * n / (n_a * n_b), 6) lift,
