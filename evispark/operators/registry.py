@@ -31,7 +31,7 @@ def shortlist(keys: DataFrame, elements: DataFrame, k: int = 8) -> DataFrame:
     """(facet, key, element_id, overlap, rank): entries of the facet by the greatest word overlap of any of their names with the key."""
     words = lambda c: F.array_distinct(F.split(c, " "))
     mine = keys.select("facet", "key", F.explode(words("key")).alias("t"))
-    names = aliases(elements).select("element_id", "facet", F.col("key").alias("name_key"), F.explode(words("key")).alias("t"))
+    names = aliases(elements).select("element_id", "facet", F.col("key").alias("name_key")).distinct().select("*", F.explode(words("name_key")).alias("t"))
     hits = mine.join(names, ["facet", "t"]).groupBy("facet", "key", "element_id", "name_key").agg(F.count("*").alias("n"))
     best = hits.groupBy("facet", "key", "element_id").agg(F.max("n").alias("overlap"))
     named = best.join(elements.select("element_id", "display_name"), "element_id")

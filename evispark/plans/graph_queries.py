@@ -200,7 +200,7 @@ SQL = {
  c as (select g, element_id, df, idf, size, count(*) c from f join gr using (paper_id) join sz using (g) join w using (element_id) group by 1, 2, 3, 4, 5),
  sc as (select *, round(c / size * least(c / size / ((df - c + 0.5) / ((select n from n) - size + 0.5)), 50.0), 9) score, c / size >= 0.25 wide from c)
  select g journal_key, string_agg(display_name, ' · ' order by r) as name from (select *, row_number() over (partition by g order by wide desc, score desc, round(idf, 9) desc, element_id) r from sc) join el using (element_id) where r <= 2 group by 1""",
-    "g13_neighbours": W + _MAT + """, fo as (select min(paper_id) focus from f), m as (select element_id, idf, focus from f, fo join w using (element_id) where paper_id = focus)
+    "g13_neighbours": W + _MAT + """, fo as (select min(paper_id) focus from f), m as (select f.element_id, idf, focus from f join w using (element_id) cross join fo where paper_id = focus)
  select * from (select *, row_number() over (partition by focus order by score desc, paper_id) rank from (select focus, paper_id, round(sum(idf), 9) score, count(*) shared from f join m using (element_id) where paper_id <> focus group by 1, 2)) where rank <= 10""",
     "g14_sessions": """with l as (select loaded_at t, case when loaded_at < lag(loaded_at) over (order by loaded_at) + interval 30 minutes then 0 else 1 end b from papers where loaded_at is not null),
  s as (select t, sum(b) over (order by t rows unbounded preceding) g from l) select min(t) start, max(t) as "end", count(*) papers from s group by g""",
