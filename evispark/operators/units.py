@@ -168,7 +168,8 @@ def _gap(option: tuple[float, float], guess: tuple[float, float], e: dict, way:
 
 def unit_map(rows: DataFrame, targets: dict[str, str]) -> dict[str, tuple[str, float, float, str]]:
     """The conversion of each spelling in `rows` (columns entity, lo, hi, unit, part). Only per-spelling figures reach the driver, MAX_SPELLINGS squared at most."""
-    names = [r[0] for r in rows.select("unit").distinct().limit(MAX_SPELLINGS + 1).collect()]
+    spelt = rows.select(F.explode(F.array("unit", "part_unit")).alias("unit")).where("unit is not null").distinct()
+    names = [r[0] for r in spelt.limit(MAX_SPELLINGS + 1).collect()]
     if len(names) > MAX_SPELLINGS:
         raise ValueError("more unit spellings than MAX_SPELLINGS")
     links = [r.asDict() for r in pairwise(profiles(rows)).collect()]

@@ -21,7 +21,7 @@ def read_records(spark: SparkSession, path: str, flush_on_type: bool = False) ->
     rows = text.withColumn("tag", F.when(tag != "", tag)).withColumn("value", F.when(tag != "", F.trim(F.regexp_extract("line", TAG, 2))).otherwise(F.trim("line")))
     rows = rows.withColumn("record", F.sum((F.col("tag") == "TY").cast("int")).over(w)).withColumn("ended", F.sum((F.col("tag") == "ER").cast("int")).over(w)).where("record > 0")
     rows = rows.withColumn("n", F.count("tag").over(w)).withColumn("open", F.coalesce(F.col("ended"), F.lit(0)))
-    tagged = rows.groupBy("file", "record", "n").agg(F.max("tag").alias("tag"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), " ").alias("value"), F.min("pos").alias("pos"))  # the lines of one tag
+    tagged = rows.groupBy("file", "record", "n").agg(F.max("tag").alias("tag"), F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), " ")).alias("value"), F.min("pos").alias("pos"))  # the lines of one tag
     closed = F.max((F.col("tag") == "ER").cast("int")).over(Window.partitionBy("file", "record"))
     kept = tagged.withColumn("closed", closed)
     kept = kept if flush_on_type else kept.where("closed = 1")
