@@ -56,7 +56,7 @@ def parse(text: str) -> tuple[list[str], list[str], str]:
     t = re.sub(r"(?<=[A-Za-z.])\d+(?:\s*,\s*\d+)*\s*$", "", re.sub(r"[*†‡§¶]", " ", t).strip())
     parts = [p for p in re.split(r"[;,]", t) if p.strip()]
     parts = [p for p in parts if re.sub(r"[^a-z]", "", p.lower()) not in TITLES] or parts
-    words, roles, initials = [], [], ""
+    words, roles, initials, ends = [], [], "", False
     several = len(parts) > 1
     for k, part in enumerate(parts):
         found = [w for w in re.findall(r"[A-Za-z][A-Za-z.'’-]*", part)]
@@ -66,13 +66,17 @@ def parse(text: str) -> tuple[list[str], list[str], str]:
         for i, (w, x) in enumerate(zip(found, letters)):
             if len(x) == 1 or re.fullmatch(r"(?:[A-Za-z]\.){2,3}[A-Za-z]?", w) or (len(x) <= 3 and x.isupper() and len(found) > 1 and not caps[i]) or (several and k and len(x) <= 3 and x.isupper()):
                 initials += x.lower()
+                ends = True
                 continue
+            ends = False
             role = ("f" if k == 0 else "g") if several else "f" if caps[i] and not all(caps) else "g" if any(caps) and not all(caps) else "f" if "-" in w else "u"
             for piece in re.split(r"[-'’.]", w):
                 if len(piece) > 1:
                     words.append(piece.lower())
                     roles.append(role)
-    if not several and initials and roles.count("u") == 1 and len(words) == 1:
+    if not several and ends:  # family first, initials last
+        roles = ["f"] * len(words)
+    elif not several and initials and len(words) == 1:
         roles = ["f"]
     return words, roles, initials
 

@@ -64,8 +64,8 @@ def similar_classes(sets: DataFrame, key: str, threshold: float = 0.6, recall: f
     membership: key, cls - records with equal sets share a class, whose id is a hash of the set.
     links: cls_a < cls_b, shared, total - the pairs of different sets with shared >= threshold * total.
     Copies thus never meet each other in a join; any number of equal records costs one class. Null or empty sets have
-    no class. Prefix groups of more than `crowd` sets are deepened up to `levels` times; what is still crowded then is joined
-    exactly by rare-first prefixes of the sets themselves, so that no partner is dropped.
+    no class. Prefix groups of more than `crowd` sets are deepened up to `levels` times; as deepening can part similar sets, the
+    sets of crowded groups are also joined exactly by rare-first prefixes of the sets themselves, so that no partner is dropped.
     """
     trees, full = trees_for(threshold, depth, recall), depth + levels
     sets = sets.where("size(tags) > 0").select(F.col(f"`{key}`").alias(key), "tags")
@@ -84,10 +84,10 @@ def similar_classes(sets: DataFrame, key: str, threshold: float = 0.6, recall: f
         small = at.where(F.col("n") <= crowd).groupBy("p").agg(F.sort_array(F.collect_set("cls")).alias("c"))  # at most `crowd` ids
         found.append(small.select(F.explode(F.expr(pairs_of("c"))).alias("q")).select("q.x", "q.y"))
         crowded = cut(at.where(F.col("n") > crowd).drop("p", "n"))
+        if level == 0 and not crowded.isEmpty():  # what deepening parts may still be similar: exactly, among these sets only
+            found.append(_prefix_pairs(classes.join(crowded.select("cls").distinct(), "cls"), threshold))
         if crowded.isEmpty():
             break
-    else:
-        found.append(_prefix_pairs(classes.join(crowded.select("cls").distinct(), "cls"), threshold))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionAll(more)
