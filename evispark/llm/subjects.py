@@ -25,7 +25,7 @@ from evispark.session import cut
 #: Labelled documents that the classifier is fitted on, at most.
 MAX_LABELLED = 20_000
 #: Terms that the model keeps, those that say most about a subject first; terms of a subject don't grow with the corpus.
-MAX_TERMS = 100_000
+MAX_TERMS = 40_000
 SOURCE_BINS = 16
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+|^\s*[-*•]\s+", re.M)
@@ -214,7 +214,7 @@ def count_terms(docs: DataFrame, subjects: list[str], model: Terms | None) -> li
     total = sum((F.col(f"c{i}") for i in range(k)), F.lit(0.0))
     biggest = F.greatest(*[F.col(f"c{i}") for i in range(k)]) if k > 1 else F.col("c0")
     summed = parts.groupBy("term").agg(*c).where((total >= 1.5) & (biggest >= 0.3 * total))
-    ranked = summed.orderBy(F.desc(biggest * biggest / total), "term").limit(2 * MAX_TERMS)
+    ranked = summed.orderBy(F.desc(biggest * biggest / total), "term").limit(MAX_TERMS)
     return [tuple(r) for r in ranked.collect()]
 
 
