@@ -35,6 +35,8 @@ NICKNAMES = {
 COLLECTIVE = frozenset("group institute consortium laboratory team collaboration society committee network council agency survey university department centre center association foundation initiative project programme board commission".split())
 SHORT = {"natl": "national", "nat": "national", "lab": "laboratory", "labs": "laboratory", "tm": "team", "collab": "collaboration", "inst": "institute", "univ": "university", "grp": "group", "gp": "group", "wg": "working group", "workgroup": "working group", "consort": "consortium", "cons": "consortium", "res": "research", "soc": "society", "comm": "committee", "dept": "department", "ctr": "centre", "center": "centre", "assoc": "association", "int": "international", "intl": "international"}
 DROPPED = frozenset("the of for on and in members a".split())
+#: Names up to which a word has too few bearers to tell a misspelling from a word of its own; above, ratios and shared bearers decide.
+THIN = 3
 PARSED = "name string, words array<string>, roles array<string>, initials string"
 
 
@@ -175,17 +177,28 @@ def trie_join(words: DataFrame, part: int = 20_000) -> DataFrame:
     return once.unionAll(once.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
 
-def corrections(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(w, to): rare words and the frequent given name or collective word they stand for.
+def corrections(tokens: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(w, to): misspelt words and the more frequent given name or collective word they stand for.
 
-    `tokens`: w, c (names that hold it), g and f (names where its place shows a given or a family name). Family names need more
-    than a neighbour and are settled later, by who bears them.
+    `tokens`: w, c (names that hold it), g and f (names where its place shows a given or a family name); `words`: name, w. A neighbour
+    is 8 times as frequent, or at least twice and stands with the other parts of a quarter of the word's names. Up to THIN names say too little against
+    it, and twice is enough; the bound leaves no word out, so the answer doesn't wear off as the table grows. Family names need more than a
+    neighbour and are settled later, by who bears them.
     """
-    a, b = tokens.select(F.col("w").alias("a"), F.col("c").alias("ca")), tokens.select(F.col("w").alias("b"), F.col("c").alias("cb"), "g", "f")
+    a, b = tokens.select(F.col("w").alias("a"), F.col("c").alias("ca"), F.col("f").alias("fa")), tokens.select(F.col("w").alias("b"), F.col("c").alias("cb"), "g", "f")
     target = ((F.col("g") >= 3) & (F.col("g") >= 3 * F.col("f"))) | F.col("b").isin([*COLLECTIVE, *SHORT, *NICKNAMES, *NICKNAMES.values()])
-    near = F.when(F.col("d") == 1, F.col("cb") >= 2 * F.col("ca")).otherwise((F.col("ca") <= 2) & (F.col("cb") >= 3 * F.col("ca")) & (F.length("a") >= 6))
-    j = pairs.join(a, "a").join(b.where(target), "b").where((F.col("ca") <= 3) & near)
-    best = j.groupBy("a").agg(F.min(F.struct("d", (-F.col("cb")).alias("c"), "b")).alias("m"))
+    j = cut(pairs.join(a, "a").join(b.where(target), "b").where(F.col("cb") >= F.when(F.col("d") == 1, 2).otherwise(3) * F.col("ca")))
+    other = words.where(~F.col("w").isin([*COLLECTIVE, *SHORT, *DROPPED])).select("name", F.col("w").alias("other"))
+    beside = words.select("name", "w").distinct().join(other.distinct(), "name").where("w <> other")
+    mine = beside.join(j.select(F.col("a").alias("w")).distinct(), "w").select(F.col("w").alias("a"), "name", "other")
+    yours = beside.join(j.select(F.col("b").alias("w")).distinct(), "w").select(F.col("w").alias("b"), "other").distinct()
+    held = j.select("a", "b").join(mine, "a").join(yours, ["b", "other"]).groupBy("a", "b").agg(F.countDistinct("name").alias("both"))
+    j = j.join(mine.groupBy("a").agg(F.countDistinct("name").alias("n")), "a", "left").join(held, ["a", "b"], "left").withColumn("share", F.coalesce(F.col("both") / F.col("n"), F.lit(0.0)))
+    far = (F.col("cb") >= 8 * F.col("ca")) & ((2 * F.col("fa") <= F.col("ca")) | F.col("b").isin([*COLLECTIVE, *SHORT]))
+    near = F.when(F.col("d") == 1, far | (F.col("ca") <= THIN) | (F.col("share") >= 0.25)).otherwise((F.col("share") >= 0.25) & (F.length("a") >= 6))
+    j = cut(j.where(near))
+    wrong = j.where("d = 1 and cb >= 8 * ca").select(F.col("a").alias("b")).distinct()  # misspelt themselves, so no targets
+    best = j.join(wrong, "b", "left_anti").groupBy("a").agg(F.min(F.struct("d", (-F.col("share")).alias("s"), (-F.col("cb")).alias("c"), "b")).alias("m"))
     return best.select(F.col("a").alias("w"), F.col("m.b").alias("to"))
 
 
@@ -213,7 +226,7 @@ def entities(names: DataFrame) -> DataFrame:
     role = lambda r: F.sum((F.col("role") == r).cast("int"))
     tokens = cut(words.groupBy("w").agg(F.countDistinct("name").alias("c"), role("g").alias("g"), role("f").alias("f")))
     pairs = cut(trie_join(tokens.select("w")))
-    fixed = cut(corrections(tokens, pairs))
+    fixed = cut(corrections(tokens, pairs, words))
     right = words.join(fixed, "w", "left").select("name", "pos", "role", F.coalesce("to", "w").alias("w"))
     places = right.groupBy("w").agg(role("g").alias("g"), role("f").alias("f"))
     known = right.join(places.select("w", ((F.col("g") + 0.5) / (F.col("g") + F.col("f") + 1)).alias("as_given")), "w")
@@ -252,22 +265,30 @@ def entities(names: DataFrame) -> DataFrame:
 
 
 def _rare_families(made: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(w, first, to): words of family names that few names hold, and the better known neighbour they stand for.
+    """(w, first, to): misspelt words of family names, and the better known neighbour they stand for.
 
     One edit apart, a name of the same given name, or of the same initial where one side has no more, must stand in both;
-    two edits apart, the full given name.
+    two edits apart, the full given name. How often a word stands in all is no measure, as it grows with the table: one edit apart,
+    the neighbour is four times as frequent, or twice and most bearers of the word bear it too; two edits apart, all of them do, and none has the word twice.
+    Words of up to THIN names need only the better known neighbour.
     """
     people = made.where("first <> '' and family not like 'org %'").select(F.explode(F.split("family", " ")).alias("w"), "first", "given", "name")
     count = people.groupBy("w").agg(F.count("*").alias("c"))
-    has = people.groupBy("w", "first").agg(F.array_remove(F.collect_set("given"), "").alias("gs"))  # given names under one initial
+    has = people.groupBy("w", "first").agg(F.array_remove(F.collect_set("given"), "").alias("gs"), F.count("*").alias("n"))  # given names under one initial
     has = has.join(count, "w")
-    a = has.select(F.col("w").alias("a"), "first", F.col("gs").alias("ga"), F.col("c").alias("ca"))
-    b = has.select(F.col("w").alias("b"), "first", F.col("gs").alias("gb"), F.col("c").alias("cb"))
-    j = pairs.join(a, "a").join(b, ["b", "first"])
+    a = has.select(F.col("w").alias("a"), "first", F.col("gs").alias("ga"), F.col("c").alias("ca"), F.col("n").alias("na"))
+    b = has.select(F.col("w").alias("b"), "first", F.col("gs").alias("gb"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+    j = cut(pairs.join(a, "a").join(b, ["b", "first"]))
+    bearers = has.groupBy(F.col("w").alias("a")).agg(F.sum(F.size("gs")).alias("bearers"))
+    shared = j.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("ga", "gb"))).alias("shared"))
+    j = j.join(bearers, "a").join(shared, ["a", "b"])
     same = F.arrays_overlap("ga", "gb")
     initial = ((F.size("ga") == 0) | (F.size("gb") == 0)) & (F.col("cb") >= 3)
     better = (F.col("cb") > F.col("ca")) | ((F.col("cb") == F.col("ca")) & (F.col("b") < F.col("a")))
-    near = F.when(F.col("d") == 1, (F.col("ca") <= 3) & (same | initial)).otherwise((F.col("ca") <= 1) & (F.length("a") >= 7) & same)
+    most = (2 * F.col("shared") > F.col("bearers")) & (F.col("nb") >= F.col("na")) & (F.col("cb") >= 2 * F.col("ca"))
+    often = (F.col("ca") <= THIN) | (F.col("cb") >= 4 * F.col("ca")) | most
+    once = (F.col("shared") == F.col("bearers")) & (F.col("ca") <= F.col("bearers"))
+    near = F.when(F.col("d") == 1, often & (same | initial)).otherwise(once & (F.length("a") >= 7) & same)
     best = j.where(better & near).groupBy("a", "first").agg(F.max(F.struct((-F.col("d")).alias("d"), "cb", "b")).alias("m"))
     one = best.select(F.col("a").alias("w"), "first", F.col("m.b").alias("to"))
     two = one.select(F.col("w").alias("to"), "first", F.col("to").alias("final"))  # a neighbour that moves on itself
@@ -288,13 +309,13 @@ def _half_families(made: DataFrame) -> DataFrame:
 
 
 def _rare_collectives(made: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(family, to): collective names that differ from a better known one in a single word, by a neighbour of the trie join."""
+    """(family, to): collective names that differ from a better known one in a single word, by a neighbour of the trie join; above THIN names it is three times as frequent."""
     orgs = made.where("family like 'org %'").groupBy("family").agg(F.count("*").alias("c"))
     parts = orgs.select("family", "c", F.explode(F.slice(F.split("family", " "), 2, 99)).alias("w"))
     parts = parts.withColumn("rest", F.array_join(F.array_remove(F.split("family", " "), F.col("w")), " "))
     a = parts.select(F.col("family").alias("fa"), F.col("c").alias("ca"), F.col("w").alias("a"), "rest")
     b = parts.select(F.col("family").alias("fb"), F.col("c").alias("cb"), F.col("w").alias("b"), "rest")
-    j = pairs.join(a, "a").join(b, ["b", "rest"]).where("ca <= 3 and (cb > ca or cb = ca and fb < fa)")
+    j = pairs.join(a, "a").join(b, ["b", "rest"]).where(f"(cb > ca or cb = ca and fb < fa) and (ca <= {THIN} or cb >= 3 * ca)")
     one = j.groupBy("fa").agg(F.max(F.struct("cb", "fb")).alias("m")).select(F.col("fa").alias("family"), F.col("m.fb").alias("to"))
     two = one.select(F.col("family").alias("to"), F.col("to").alias("final"))
     return one.join(two, "to", "left").select("family", F.coalesce("final", "to").alias("to"))

@@ -201,6 +201,21 @@ def test_names_cases(spark):
     assert names.entities(spark.createDataFrame([], "name string")).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_misspellings_stay_linked_as_names_multiply(spark, times):
+    rng = random.Random(9)
+    made = ["".join(rng.choice(x) for x in ("bdgklm", "aeiou", "prstvz", "aeiou", "bdgklm", "aeiou", "nrstx")) for _ in range(24 * times)]
+    families = sorted({w + x for w, x in zip(made, "qwxyzjkh" * 30)})
+    right, wrong, other = families[0::2], families[0 : 4 * times : 2], families[1 : 12 * times : 4]
+    data = [f"{f.title()}, Wanda" for f in right] + [f"{f.title()}, Wnada" for f in wrong] + [f"{f.title()}, Wenda" for f in other]
+    given = ["Amara", "Bruno", "Clara", "Dmitri", "Emre", "Felix", "Haruto", "Igor", "Jakub", "Kwame", "Lena", "Marta", "Nils", "Olga", "Petra", "Quentin", "Rashid", "Svetlana", "Tariq", "Ulrich"]
+    data += [f"Skorzewel, {x}" for x in given] + [f"Skorzwel, {x}" for x in given[: 5 if times > 1 else 2]]
+    got = {frozenset(r) for r in names.variant_pairs(names.entities(spark.createDataFrame([(x,) for x in data], "name string"))).collect()}
+    assert {frozenset([f"{f.title()}, Wanda", f"{f.title()}, Wnada"]) for f in wrong} <= got
+    assert {frozenset([f"Skorzewel, {x}", f"Skorzwel, {x}"]) for x in given[: 5 if times > 1 else 2]} <= got
+    assert not any("Wenda" in x for p in got for x in p)
+
+
 # 9 leakage -------------------------------------------------------------------------------------------------------
 
 ITEM = "The tailor swore that no lighthouse could be rebuilt there in year 68, so that the silent aqueduct of Traayne was carelessly praised near Sadoth"
