@@ -152,6 +152,39 @@ def test_windows_find_what_all_pairs_find(spark, sf):
     assert got <= brute and len(got) >= 0.97 * len(brute)
 
 
+def test_hot_work_keeps_every_pair(spark):
+    title = "Effect of moisture on swelling strain in Jomburlel aerogel"
+    work = (title, "10.1000/abc.1", "1999", "Arch. Reg. Chem.", ["Lee, M."], "x")
+    other = ("Survey of Dridved carbon cores", "10.1000/abc.2", "2008", None, ["Brown, B."], "x")
+    a = spark.createDataFrame([(i, *work) for i in range(420)] + [(900, *other)], WORKS).withColumnRenamed("id", "a_id")
+    b = spark.createDataFrame([(i, *work) for i in range(3)] + [(7, *other)], WORKS).withColumnRenamed("id", "b_id")
+    assert {tuple(r)[:2] for r in matching.match_works(a, b, "a_id", "b_id").collect()} == {(i, j) for i in range(420) for j in range(3)} | {(900, 7)}
+
+
+def test_placeholder_dois_are_told_by_titles(spark):
+    words = ["moisture", "strain", "core", "glass", "basin", "tuff", "creep", "pore", "salt", "ice"]
+    a = [(i, "Swelling strain of Jomburlel aerogel" + (" in air" if i % 3 else ""), "10.1000/work", None, None, None, None) for i in range(20)]
+    a += [(100 + i, f"{words[i]} {words[(i * 3 + 1) % 10]} {words[(i * 7 + 5) % 10]}", "10.0000/none", None, None, None, None) for i in range(10)]
+    got = matching.without_placeholders(matching.read_records(spark.createDataFrame(a, WORKS), 0, "id"))
+    assert {(r["id"] < 100, r["doi"]) for r in got.collect()} == {(True, "10.1000/work"), (False, "")}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_assignment_is_optimal_and_large_ones_are_full(spark, seed):
+    rng = random.Random(seed)
+    scores = {(x, y): rng.uniform(4, 12) for x in range(6) for y in range(7) if rng.random() < 0.5}
+    cost = np.zeros((6, 13))
+    for (x, y), s in scores.items():
+        cost[x, y] = -matching.confidence(s) - 1e-4 * s
+    total = lambda found: sum(cost[p] for p in found)
+    best = sum(cost[i, j] for i, j in enumerate(matching.hungarian(cost)))
+    assert abs(total(matching.assign(scores)) - best) < 1e-9
+    if seed == 0:
+        taken = {(r["l"], r["r"]) for r in matching.dominant(spark.createDataFrame([(x, y, s) for (x, y), s in scores.items()], "l bigint, r bigint, score double")).collect()}
+        left, right = {x for x, _ in taken}, {y for _, y in taken}
+        assert len(left) == len(right) == len(taken) and all(x in left or y in right for x, y in scores) and total(taken) <= best / 2
+
+
 def test_hungarian_is_optimal():
     from itertools import permutations
 
