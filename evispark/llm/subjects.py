@@ -24,8 +24,6 @@ from evispark.session import cut
 
 #: Labelled documents that the classifier is fitted on, at most.
 MAX_LABELLED = 20_000
-#: Terms that the model keeps, those that say most about a subject first; terms of a subject don't grow with the corpus.
-MAX_TERMS = 40_000
 SOURCE_BINS = 16
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n+|^\s*[-*•]\s+", re.M)
@@ -56,26 +54,28 @@ def terms(ws: list[str]) -> list[str]:
 
 
 class Terms:
-    """Log-odds of the terms for each subject."""
+    """Log-odds of the terms for each subject.
 
-    def __init__(self, rows: list[tuple], subjects: list[str], smooth: float = 0.5):
+    `counts`: term and one column per subject; the row of a language with no word, `xx|`, holds the totals over all its terms, those left out as well.
+    """
+
+    def __init__(self, counts: pd.DataFrame, subjects: list[str], smooth: float = 0.5):
         k = len(subjects)
         self.k = k
-        counts = np.array([r[1 : 1 + k] for r in rows], float).reshape(-1, k)
-        overall = counts.sum(1)
-        weight = np.zeros_like(counts)
-        tongue = np.array([r[0][:2] for r in rows])
-        for t in set(tongue.tolist()):  # within one language, so that a subject is never told by the language
-            own = tongue == t
-            total = counts[own].sum(0)
-            base = overall[own] / max(1.0, overall[own].sum())
+        self.weight: dict[str, np.ndarray] = {}
+        names, values = counts["term"].to_numpy(object), counts.iloc[:, 1 : 1 + k].to_numpy(float).reshape(-1, k)
+        tongue, sums = np.array([x[:2] for x in names], object), np.array([len(x) == 3 for x in names], bool)
+        for t in sorted(set(tongue.tolist())):  # within one language, so that a subject is never told by the language
+            total = values[sums & (tongue == t)].sum(0)
+            own = np.flatnonzero(~sums & (tongue == t))
+            overall = values[own].sum(1)
+            base = overall / max(1.0, total.sum())
             room = smooth * 30 + 0.02 * total.mean()
-            rate = (counts[own] + room * base[:, None]) / (total + room)
-            weight[own] = np.log(rate / np.maximum(base[:, None], 1e-12))
-        spread = weight.max(1) - np.sort(weight, 1)[:, -2]
-        keep = [i for i in range(len(rows)) if overall[i] >= 1.5 and (weight[i].max() > 0.7 or spread[i] > 0.5)]
-        keep = sorted(keep, key=lambda i: (-overall[i] * weight[i].max(), rows[i][0]))[:MAX_TERMS]
-        self.weight = {rows[i][0]: np.clip(weight[i], -2.0, 4.0) for i in keep}
+            rate = (values[own] + room * base[:, None]) / (total + room)
+            weight = np.log(rate / np.maximum(base[:, None], 1e-12))
+            spread = weight.max(1) - np.sort(weight, 1)[:, -2] if k > 1 else np.zeros(len(own))
+            keep = (overall >= 1.5) & ((weight.max(1) > 0.7) | (spread > 0.5))
+            self.weight |= dict(zip(names[own[keep]], np.clip(weight[keep], -2.0, 4.0).astype(np.float32)))
 
     def posterior(self, ws: list[str]) -> tuple[np.ndarray, float]:
         """(share of each subject, evidence) of one sentence. Without a known term all shares are 0."""
@@ -172,11 +172,12 @@ def label_sets(labels: DataFrame, subjects: list[str]) -> DataFrame:
     return labels.select("doc_id", s.alias("s")).where(F.col("s").isin(subjects) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("ys"))  # at most all subjects
 
 
-def count_terms(docs: DataFrame, subjects: list[str], model: Terms | None) -> list[tuple]:
-    """(term, weight per subject) over all of `docs` (text, ys), combined in each batch before the shuffle.
+def count_terms(docs: DataFrame, subjects: list[str], model: Terms | None) -> pd.DataFrame:
+    """term and its count per subject over all of `docs` (text, ys), combined in each batch before the shuffle.
 
     Without a model a document counts for its labels; with one, each of its sentences counts for what the model says, and a labelled document's for its
-    labels only. Terms found less than twice are left to the executors; the number of the rest is bounded by what a subject's vocabulary is.
+    labels only. Terms found less than twice or spread over the subjects are left to the executors; the totals of each language, under `xx|`, count them too.
+    The rest, however many they are, come to the driver as columns.
     """
     at = {s: i for i, s in enumerate(subjects)}
     k = len(subjects)
@@ -206,16 +207,17 @@ def count_terms(docs: DataFrame, subjects: list[str], model: Terms | None) -> li
                     if p is not None:
                         for t in terms(ws):
                             sums[t] += p
-            rows = [(t, v.tolist()) for t, v in sums.items()]
+            totals: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
+            for t, v in sums.items():
+                totals[t[:3]] += v
+            rows = [(t, v.tolist()) for t, v in (sums | totals).items()]
             yield pd.DataFrame(rows, columns=["term", "v"])
 
     parts = docs.mapInPandas(scan, "term string, v array<double>")
     c = [F.sum(F.col("v")[i]).alias(f"c{i}") for i in range(k)]
     total = sum((F.col(f"c{i}") for i in range(k)), F.lit(0.0))
     biggest = F.greatest(*[F.col(f"c{i}") for i in range(k)]) if k > 1 else F.col("c0")
-    summed = parts.groupBy("term").agg(*c).where((total >= 1.5) & (biggest >= 0.3 * total))
-    ranked = summed.orderBy(F.desc(biggest * biggest / total), "term").limit(MAX_TERMS)
-    return [tuple(r) for r in ranked.collect()]
+    return parts.groupBy("term").agg(*c).where((F.length("term") == 3) | ((total >= 1.5) & (biggest >= 0.3 * total))).toPandas()
 
 
 def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = 2) -> tuple[list[str], Terms | None, Chain | None]:

@@ -354,6 +354,20 @@ def _doc(rng, parts):
     return " ".join(out)
 
 
+def test_every_term_counts(spark):
+    rng = random.Random(3)
+    word = lambda i: "".join(chr(97 + (i // 26**n) % 26) for n in range(4))
+    data = [(f"the of and {' '.join(word(i) for i in range(at, at + 60))}.", [("one", "two")[at // 60 % 2]]) for at in range(0, 42_000, 60)]
+    rng.shuffle(data)
+    data = data * 2 + [("the of and onlyonce.", ["one"])]
+    counts = subjects.count_terms(spark.createDataFrame(data, "text string, ys array<string>"), ["one", "two"], None)
+    totals = counts[counts["term"] == "en|"].iloc[0, 1:].sum()
+    terms = sum(len(subjects.terms(ws)) for text, _ in data for ws in subjects.sentences(text))
+    assert totals == terms and len(counts) > 80_000
+    known = subjects.Terms(counts, ["one", "two"]).weight
+    assert len(known) > 80_000 and all(f"en|{word(i)}" in known for i in range(42_000)) and "en|onlyonce" not in known
+
+
 def test_subjects_held_out(spark):
     rng = random.Random(6)
     truth, docs, labels = {}, [], []
