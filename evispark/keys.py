@@ -1,7 +1,10 @@
-"""Identity and key functions as Column expressions (no Python in the hot path)."""
+"""Identity and key functions as Column expressions; only Unicode folding, which Spark lacks, goes through Arrow."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +62,22 @@ def short_text(c: Column, n: int) -> Column:
     """Squeezed text, cut to n-1 characters and an ellipsis of three dots where it is longer than n."""
     s = squeeze(c)
     return F.when(F.length(s) > n, F.concat(F.rtrim(F.substring(s, 1, n - 1)), F.lit("..."))).otherwise(s)
+
+
+def _folded(form: str, marks: bool):
+    @F.pandas_udf("string")
+    def fold(s: pd.Series) -> pd.Series:
+        one = lambda t: t if t is None or t.isascii() else "".join(ch for ch in unicodedata.normalize(form, t) if marks or not unicodedata.combining(ch))
+        return s.map(one, na_action="ignore")
+
+    return fold
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility forms (ligatures, full-width letters, superscripts) as plain characters. Null stays null."""
+    return _folded("NFKC", True)(c)
+
+
+def unaccented(c: Column) -> Column:
+    """Letters without their marks (canonical decomposition). Null stays null."""
+    return _folded("NFD", False)(c)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from evispark.keys import norm_key
 from evispark.operators import graph as G
 from evispark.operators import index as I
-from evispark.operators import registry as R
 from evispark.plans.index_queries import OCC, journals, load
 from evispark.session import cut
 from evispark.tables import latest, table
@@ -121,46 +120,10 @@ def c4_degree_report(spark: SparkSession, sf: str) -> DataFrame:
     total = d.agg(F.max("degree").alias("most"), F.min("degree").alias("least"), F.sum((F.col("degree") == 0).cast("int")).alias("isolated"), F.round(F.avg("degree"), 6).alias("mean"))
     return total.join(F.broadcast(mid))  # one row each
 
-def el3_quotes(spark: SparkSession, sf: str) -> DataFrame:
-    """How many quotes hold their surface, by letters alone and by letters and digits."""
-    o = latest(table(spark, sf, "occurrences"), ["occ_id"], "loaded_at", ["facet", "surface", "quote"])
-    loose = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
-    tight = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    ok = lambda f: F.coalesce(f("quote").contains(f("surface")) & (F.length(f("surface")) > 0), F.lit(False)).cast("int")
-    return o.groupBy("facet").agg(F.count("*").alias("n"), F.sum(ok(loose)).alias("loose"), F.sum(ok(tight)).alias("tight"))
-
-def el10_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "occurrences").where("facet is not null and surface is not null").select("facet", "surface").distinct()
-    return R.lookup(v, load(spark, sf).elements)
-
-def el11_unresolved(spark: SparkSession, sf: str) -> DataFrame:
-    o = latest(table(spark, sf, "occurrences"), ["occ_id"], "loaded_at", ["facet", "surface", "element_id"]).where("element_id is null")
-    return R.unresolved(o.select("facet", "surface"), load(spark, sf).elements)
-
-def el12_shortlist(spark: SparkSession, sf: str) -> DataFrame:
-    keys = el11_unresolved(spark, sf).where("key <> ''").select("facet", "key")
-    return R.shortlist(keys, load(spark, sf).elements).select("facet", "key", "element_id", "overlap", "rank")
-
 def el16_surfaces(spark: SparkSession, sf: str) -> DataFrame:
     o = latest(table(spark, sf, "occurrences"), ["occ_id"], "loaded_at", ["facet", "surface"])
     return o.groupBy("facet", "surface").agg(F.count("*").alias("n"))
 
-def el18_superbuckets(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf).elements
-    n = F.size(F.from_json("aliases_json", "array<string>"))
-    return e.where("aliases_json is not null").select("element_id", n.alias("aliases")).where("aliases > 2")
-
-def el19_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return R.duplicates(load(spark, sf).elements)
-
-def el23_tags(spark: SparkSession, sf: str) -> DataFrame:
-    ix = load(spark, sf)
-    kinds = {"object": ["material"], "method": ["preparation", "measurement", "simulation"]}
-    return R.derived_tags(ix.rows, ix.elements, kinds, {"object": 6, "method": 7})
-
-def el25_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return R.vocabulary(load(spark, sf).elements, {"object": ["material"], "method": ["preparation", "measurement", "simulation"]})
-
 def el27_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Papers with and without occurrences, by whether they have a card."""
     ix = load(spark, sf)
@@ -176,10 +139,6 @@ _PAIR = """, {name} as (select a.paper_id a, b.paper_id b, round(sum(idf), 9) sc
 _CAP = "and df <= greatest(5, floor((select n from n) * 0.3))"
 _EDGES = _PAIR.format(name="s", cap=_CAP) + """, ends as (select *, unnest([a, b]) node from s where score > {least}),
  edges as (select distinct a, b, score, shared from (select *, row_number() over (partition by node order by score desc, a, b) r from ends) where r <= 8)"""
-_ALIAS = f""", al as (select element_id, facet, display_name as name from el union all select element_id, facet, unnest(from_json(case when json_valid(aliases_json) then aliases_json else '[]' end, '["varchar"]')) from el),
- ak as (select element_id, facet, name, {_NK.format('name')} as key from al where {_NK.format('name')} <> ''), best as (select facet, key, min(element_id) element_id from ak group by 1, 2)"""
-_UN = f""", u as (select facet, surface, {_NK.format('surface')} as key from occ where element_id is null and facet is not null and surface is not null),
- un as (select facet, key, min(surface) first_surface, count(*) occurrences from u where not exists (select 1 from best where best.facet = u.facet and best.key = u.key) group by 1, 2)"""
 _TAG = ", t as (select distinct paper_id, facet, concept from (" + " union all ".join(f"select paper_id, '{c}' facet, {_NK.format('v')} concept from pap, unnest({c}) u(v)" for c in TAG_WEIGHTS) + ") where concept <> '')"
 _C3 = _TAG + """, nn as (select count(distinct paper_id)::double n from t),
  d as (select facet, concept, case facet when 'domain_tags' then 0.6::double when 'methods' then 0.8::double else 1.0::double end * ln(nn.n / count(*)) w from t, nn group by facet, concept, nn.n),
@@ -210,20 +169,7 @@ SQL = {
     "c4_degree_report": W + _C3 + """, dd as (select unnest([a, b]) paper_id from c3), de as (select paper_id, count(dd.paper_id) degree from pap left join dd using (paper_id) group by 1),
  o as (select degree, row_number() over (order by degree) - 1 i, count(*) over () n from de)
  select max(degree) most, min(degree) least, sum((degree = 0)::int) isolated, round(avg(degree), 6) mean, (select degree from o where i = n // 2) median from de""",
-    "el3_quotes": W + """, x as (select facet, regexp_replace(lower(quote), '[^a-z]', '', 'g') ql, regexp_replace(lower(surface), '[^a-z]', '', 'g') sl, regexp_replace(lower(quote), '[^a-z0-9]', '', 'g') qt, regexp_replace(lower(surface), '[^a-z0-9]', '', 'g') st from occ)
- select facet, count(*) n, sum((coalesce(contains(ql, sl) and sl <> '', false))::int) loose, sum((coalesce(contains(qt, st) and st <> '', false))::int) tight from x group by 1""",
-    "el10_lookup": W + _ALIAS + f", v as (select distinct facet, surface from occurrences where facet is not null and surface is not null) select v.facet, surface, element_id from v left join best on best.facet = v.facet and best.key = {_NK.format('surface')}",
-    "el11_unresolved": W + _ALIAS + _UN + "select * from un",
-    "el12_shortlist": W + _ALIAS + _UN + """, kt as (select distinct facet, key, unnest(string_split(key, ' ')) t from un where key <> ''), nt as (select distinct element_id, facet, key nk, unnest(string_split(key, ' ')) t from ak),
- h as (select kt.facet, kt.key, element_id, nk, count(*) c from kt join nt on kt.facet = nt.facet and kt.t = nt.t group by 1, 2, 3, 4), b as (select facet, key, element_id, max(c) overlap from h group by 1, 2, 3)
- select facet, key, element_id, overlap, rank from (select b.*, row_number() over (partition by b.facet, b.key order by overlap desc, display_name, element_id) rank from b join (select element_id, display_name from el) e using (element_id)) where rank <= 8""",
     "el16_surfaces": W + "select facet, surface, count(*) n from occ group by 1, 2",
-    "el18_superbuckets": W + """select element_id, len(from_json(aliases_json, '["varchar"]')) aliases from el where json_valid(aliases_json) and len(from_json(aliases_json, '["varchar"]')) > 2""",
-    "el23_tags": W + """, k as (select element_id, display_name, case when facet = 'material' then 'object' when facet in ('preparation', 'measurement', 'simulation') then 'method' end kind from el),
- c as (select paper_id, kind, display_name tag, count(*) n from r join k using (element_id) where role = 'used' and kind is not null group by 1, 2, 3),
- fi as (select paper_id, string_agg(distinct lower(surface), chr(10) order by lower(surface)) txt from r where facet = 'finding' and surface is not null group by 1),
- j as (select c.*, coalesce(contains(txt, lower(tag)), false) in_finding from c left join fi using (paper_id))
- select * from (select *, row_number() over (partition by paper_id, kind order by in_finding desc, n desc, tag) rank from j) where rank <= case kind when 'object' then 6 else 7 end""",
     "el27_coverage": W + "select has_card, paper_id in (select paper_id from r) has_elements, count(*) papers from pap group by 1, 2",
 }
-QUERIES = {k: globals()[k] for k in [*SQL, "g6_label_propagation", "g7_communities", "el19_duplicates", "el25_vocabulary"]}
+QUERIES = {k: globals()[k] for k in [*SQL, "g6_label_propagation", "g7_communities"]}

@@ -62,19 +62,6 @@ def el1_prompt_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return b.withColumn("t", t).where("t <> ''").select("id", F.substring("t", 1, 700).alias("prompt"))
 
 
-def el2_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """Occurrences by the first reason to reject them: facet, role, block, length, quote without surface; accepted otherwise."""
-    o = latest(table(spark, sf, "occurrences"), ["occ_id"], "loaded_at", ["facet", "surface", "quote", "role", "reading_block_id"])
-    facets = table(spark, sf, "elements").select("facet").distinct().withColumn("f", F.lit(True))
-    known = table(spark, sf, "reading_blocks").select("reading_block_id").distinct().withColumn("b", F.lit(True))
-    letters = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z]", "")
-    j = o.join(facets, "facet", "left").join(known, "reading_block_id", "left")
-    role = F.coalesce(I.clean_role(F.col("role")), F.lit(""))
-    reason = F.when(F.col("f").isNull(), "bad_facet").when(~role.isin("used", "mentioned"), "bad_role").when(F.col("b").isNull(), "unknown_block")
-    reason = reason.when(F.length(letters("quote")) < 12, "too_short").when(~F.contains(letters("quote"), letters("surface")), "quote_not_found").otherwise("accepted")
-    return j.groupBy("facet", reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 def ev8_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a surface's words that its quote has, per facet: mean, and rows that fall short of 0.55."""
     o = latest(table(spark, sf, "occurrences"), ["occ_id"], "loaded_at", ["facet", "surface", "quote"]).where("surface is not null and quote is not null")
@@ -208,9 +195,6 @@ SQL = {
     "rb9_validation": B + """, a as (select paper_id, count(*) blocks, count(distinct block_order) orders, max(block_order) as last, sum((section_kind is null)::int) no_kind, sum(coalesce(coalesce(trim(text), '') = '' and reading_type = 'paragraph', false)::int) empty from b where paper_id is not null group by 1)
  select paper_id, blocks, blocks - orders repeated, last - orders missing, no_kind, empty, case when blocks = orders and no_kind = 0 then 'ok' else 'needs_fix' end status from a""",
     "el1_prompt_blocks": B + ", t as (select id, coalesce(nullif(trim(text), ''), trim(caption)) t from b where coalesce(include_in_reading, false)) select id, substring(t, 1, 700) prompt from t where t <> ''",
-    "el2_validation": W + """, x as (select facet, facet in (select facet from el) f, coalesce(role, '') role, reading_block_id in (select reading_block_id from reading_blocks where reading_block_id is not null) b,
-  regexp_replace(lower(coalesce(quote, '')), '[^a-z]', '', 'g') q, regexp_replace(lower(coalesce(surface, '')), '[^a-z]', '', 'g') s from occ)
- select facet, case when not coalesce(f, false) then 'bad_facet' when role not in ('used', 'mentioned') then 'bad_role' when not coalesce(b, false) then 'unknown_block' when length(q) < 12 then 'too_short' when not contains(q, s) then 'quote_not_found' else 'accepted' end reason, count(*) n from x group by 1, 2""",
     "ev8_overlap": W + f", x as (select facet, {_WS.format('surface')} s, {_WS.format('quote')} q from occ where surface is not null and quote is not null), y as (select facet, len(list_intersect(s, q)) / len(s) r from x where len(s) > 0) select facet, count(*) n, round(avg(r), 6) recall, sum((r < 0.55)::int) short from y group by 1",
     "ev24_even_sample": W + ", x as (select paper_id, row_number() over (order by paper_id) - 1 as pos, count(*) over () n from pap) select paper_id, pos from x where pos % greatest(1, n // 20) = 0 order by pos limit 20",
     "g15_route": W + """, x as (select lower(trim(journal)) journal_key, paper_id, coalesce(regexp_matches(lower(title), 'review|overview'), false) review, coalesce(len(main_findings), 0) size from pap where trim(journal) <> '')

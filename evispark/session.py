@@ -56,3 +56,8 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark `df` for broadcast only if a count shows at most `max_rows` rows; otherwise leave the join to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """Mark a side that grows with the data: it is joined by sort and merge, whatever size Spark guesses for it, and never sent to the driver."""
+    return df.hint("merge")

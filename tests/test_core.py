@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evispark import keys
 from evispark.functions.quantities import KNOWN, mentions, number
-from evispark.operators import evidence, graph, registry, units
+from evispark.operators import evidence, graph, quotes, registry, resolution, units
 from evispark.operators.components import connected_components
 from evispark.plans import queries as core
 from evispark.sources import bibliography, library
@@ -144,7 +144,55 @@ def test_registry(spark):
     e = spark.createDataFrame([("e:a/1", "a", "Gas cells", '["GC", "", "gas cell"]', 0), ("e:a/2", "a", "gas cell", None, 1), ("e:b/1", "b", "Gas cells", "broken", None)], "element_id string, facet string, display_name string, aliases_json string, human_locked int")
     v = spark.createDataFrame([("a", "gc"), ("a", "Gas-Cells"), ("b", "gc"), (None, "gc"), ("a", None)], "facet string, surface string")
     assert rows(registry.lookup(v, e)) == sorted([("a", "gc", "e:a/1"), ("a", "Gas-Cells", "e:a/1"), ("b", "gc", None), (None, "gc", None), ("a", None, None)], key=repr)
-    assert rows(registry.duplicates(e)) == [("a", "gas cell", "e:a/2", "e:a/1")]
+
+
+REG = "element_id string, facet string, display_name string, aliases array<string>, redirect_to string, origin string, human_locked int, ordinal int"
+
+
+def test_redirects_and_duplicates(spark):
+    e = [("a", "f", "Gas cells", ["GC"], "b", "seed", 0, 1), ("b", "f", "gas cell", [], "c", "x", 0, 2), ("c", "f", "core", [], None, "x", 0, 3), ("p", "f", "p", [], "q", "x", 0, 4), ("q", "f", "q", None, "p", "x", 0, 5), ("r", "f", "r", [], "p", "x", 0, 6), ("s", "f", "s", [], "gone", "x", 0, 7)]
+    df = spark.createDataFrame(e, REG)
+    assert dict(rows(registry.resolve_redirects(df))) == {"a": "c", "b": "c", "c": "c", "p": "p", "q": "q", "r": "p", "s": "gone"}
+    assert registry.resolve_redirects(df.limit(0)).count() == 0
+    found = registry.find(spark.createDataFrame([("f", "gc", 1), ("f", "none", 2), (None, "gc", 3)], "facet string, surface string, ordinal int"), df, registry.resolve_redirects(df))
+    assert {r["surface"]: r["element_id"] for r in found.where("facet is not null").collect()} == {"gc": "c", "none": None}
+    d = [("a", "f", "Isotherm", [], None, "x", 0, 1), ("b", "f", "isotherms", ["x"], None, "x", 0, 2), ("c", "f", "Isotherms", [], None, "x", 1, 3), ("d", "f", "isotherm", [], None, "x", 1, 4), ("e", "g", "isotherm", [], None, "seed", 0, 5)]
+    assert rows(registry.duplicates(spark.createDataFrame(d, REG))) == [("f", "isotherm", "c", "a,b", 1)]
+    merged = {r["element_id"]: r["redirect_to"] for r in registry.merge_duplicates(spark.createDataFrame(d, REG)).collect()}
+    assert merged == {"a": "c", "b": "c", "c": None, "d": None, "e": None}
+
+
+def test_new_ids_and_seeds(spark):
+    e = spark.createDataFrame([("elem:f/x",), ("elem:f/x-3",)], "element_id string")
+    new = spark.createDataFrame([("f", "X", 1), ("f", "x", 2), ("f", "x!", 3), ("f", "y", 4), ("f", "", 5)], "facet string, display_name string, arrival int")
+    assert {r["arrival"]: r["element_id"] for r in registry.create_entries(e, new).collect()} == {1: "elem:f/x-2", 2: "elem:f/x-4", 3: "elem:f/x-5", 4: "elem:f/y", 5: "elem:f/unnamed"}
+    clash = spark.createDataFrame([("f", "z", 1), ("f", "z", 2), ("f", "z 2", 3)], "facet string, display_name string, arrival int")
+    assert {r["arrival"]: r["element_id"] for r in registry.create_entries(e, clash).collect()} == {1: "elem:f/z", 2: "elem:f/z-2", 3: "elem:f/z-2-2"}
+    seeds = spark.createDataFrame([("f", "Gas cell", ["gas-cell", "GC"], 1), ("f", "gas  cell", None, 2)], "facet string, canonical string, aliases array<string>, ordinal int")
+    assert [(r["element_id"], r["display_name"], r["aliases"]) for r in registry.from_seeds(seeds).collect()] == [("elem:f/gas-cell", "gas  cell", [])]
+
+
+def test_events(spark):
+    e = spark.createDataFrame([("a", "f", "One", [], None, "x", 0, 1), ("b", "f", "Two", ["II"], None, "x", 0, 2), ("c", "f", "Three", [], None, "x", 0, 3)], REG)
+    log = [(1, "alias", "a", "one!", "auto"), (2, "alias", "a", "I", "auto"), (3, "alias", "a", "i", "auto"), (4, "merge", "b", "c", "auto"), (5, "merge", "a", "b", "human"), (6, "rename", "c", "Drei", "human"), (7, "merge", "c", "a", "auto"), (8, "alias", "zz", "x", "auto"), (9, "merge", "a", "zz", "auto")]
+    got = {r[0]: tuple(r)[1:] for r in registry.fold_events(e, spark.createDataFrame(log, "seq int, event string, element_id string, detail string, source string")).collect()}
+    assert got == {"a": ("One", ["I"], "c", 0), "b": ("Two", ["II"], "c", 0), "c": ("Drei", ["Three"], None, 1)}
+
+
+def test_chunks(spark):
+    items = [("f", f"k{i:03d}", [f"c{i}", "c0"]) for i in range(65)] + [("g", "k", [f"d{i}" for i in range(300)]), ("g", "m", None), (None, "k", [])]
+    got = {(r["facet"], r["key"]): r["chunk"] for r in resolution.pack_chunks(spark.createDataFrame(items, "facet string, key string, ids array<string>")).collect()}
+    assert [got["f", f"k{i:03d}"] for i in (0, 29, 30, 59, 60)] == [1, 1, 2, 2, 3] and (got["g", "k"], got["g", "m"]) == (1, 2) and len(got) == 67
+
+
+def test_quotes(spark):
+    text = "The ﬁne montmorillonite was ball-milled for 4 h at 400 rpm under N2."
+    cases = [("fine montmorillonite was ... ball-milled for 4 h", True, True, ""), ("montmorillonite was ball-milled for 9 h", True, False, ""), ("short", False, False, "too_short"), (None, False, False, "too_short"), ("entirely other words here", False, False, "not_found")]
+    df = spark.createDataFrame([(q, text, i) for i, (q, *_) in enumerate(cases)], "q string, t string, i int")
+    got = {r["i"]: (r["quote_verified"], r["digits_verified"], r["quote_reason"]) for r in quotes.verified(df, "q", "t").collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+    r = spark.createDataFrame([("gas was stored in the cell", "First there was nothing at all. Gas was stored in the large cell then.")], "q string, t string")
+    assert r.select(quotes.repaired_quote(F.col("q"), F.col("t")), quotes.in_block(F.col("q"), F.col("t"))).first()[:] == ("Gas was stored in the large cell then.", False)
 
 
 def test_parse_values(spark):
