@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.keys import norm_key
-from evispark.session import cut
+from evispark.session import cut, shuffled
 
 STATES = ("body", "header", "break")
-#: Blocks on which the line model is fitted; it is applied to all.
-SAMPLE_BLOCKS = 4_000
+#: Blocks, of at most so many characters each, on which the line model is fitted; it is applied to all.
+SAMPLE_BLOCKS, SAMPLE_CHARS = 4_000, 5_000
+#: A word goes with numbers in running sentences if it stands beside one in at least three blocks and in this share of all its places.
+BESIDE = 0.01
 # What a character or pair of characters may have been, as printed -> meant.
 CONFUSIONS = [("†", "t"), ("i)", "d"), ("0", "o"), ("!", "i"), ("!", "l"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("9", "g"), ("8", "b"), ("3", "e"), ("|", "l"), ("|", "i"), ("$", "s"), ("@", "a"), ("4", "a"), ("7", "t"), ("2", "z"), ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("ri", "n"), ("n", "ri"), ("li", "h"), ("h", "li"), ("vv", "w"), ("in", "m"), ("m", "in"), ("ni", "m"), ("m", "ni"), ("nn", "m"), ("c", "e"), ("e", "c"), ("k", "r"), ("h", "b"), ("b", "h"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("rri", "m"), ("ij", "y"), ("ivi", "m"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")]
 HYPHENS = "-­‐‑¬"
@@ -63,10 +65,10 @@ _MARKED = re.compile(r"(?<!see )(?:\b[Pp]age\s+(\d{1,4})\b|\bp\.\s+(\d{1,4})\b|(
 _BARE = re.compile(rf"(?<!\S)(\d{{1,4}})(?=\s)")
 
 
-def unfold(text: str, first: int | None, last: int | None, around: tuple[frozenset[str], frozenset[str]]) -> str:
+def unfold(text: str, first: int | None, last: int | None, running: set[tuple[str, str]]) -> str:
     """A text whose line ends are lost, with line ends again around what may be a running header or a page number of the block.
 
-    `around`: words that the corpus has before and after numbers in running sentences. The line model decides on the lines.
+    `running`: (word before, word after) of the block's numbers that stand in running sentences. The line model decides on the lines.
     """
     if "\n" in text or first is None:
         return text
@@ -87,7 +89,7 @@ def unfold(text: str, first: int | None, last: int | None, around: tuple[frozens
     for m in _BARE.finditer(text):
         if first <= int(m[1]) <= (last if last is not None else first):
             before, after = re.findall(r"[^\W\d_]+", text[max(0, m.start() - 20) : m.start()].lower())[-1:], re.findall(r"[^\W\d_]+", text[m.end() : m.end() + 20].lower())[:1]
-            if before and after and not (before[0] in around[0] and after[0] in around[1]):
+            if before and after and (before[0], after[0]) not in running:
                 cut_at.append(m.span())
     out, at = [], 0
     for a, b in sorted(cut_at, key=lambda x: (x[0], -x[1])):
@@ -99,15 +101,21 @@ def unfold(text: str, first: int | None, last: int | None, around: tuple[frozens
     return "\n".join(x for x in out if x)
 
 
-def number_contexts(texts: list[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """Words that stand right before and right after numbers in at least three of the texts."""
-    before: dict[str, int] = {}
-    after: dict[str, int] = {}
-    for t in texts:
-        for m in re.finditer(r"([^\W\d_]+)\s+\d{1,4}\s+([^\W\d_]+)", t.lower()):
-            before[m[1]] = before.get(m[1], 0) + 1
-            after[m[2]] = after.get(m[2], 0) + 1
-    return frozenset(w for w, n in before.items() if n > 2), frozenset(w for w, n in after.items() if n > 2)
+def running_numbers(blocks: DataFrame) -> DataFrame:
+    """(id, running): of each block without line ends the (before, after) words of its numbers that stand in running sentences.
+
+    Counted over all blocks by aggregates: both words must go with numbers, in at least three blocks and BESIDE of all their places.
+    """
+    low = blocks.where("text is not null").select("id", F.lower("text").alias("t"))
+    beside = F.arrays_zip(*[F.regexp_extract_all("t", F.lit(r"(\p{L}+)\P{L}{1,3}?\b\d{1,4}(?=\s+[^\p{L}\s]{0,3}(\p{L}+))"), F.lit(g)).alias(n) for g, n in ((1, "before"), (2, "after"))])
+    numbers = cut(low.select("id", F.explode(F.array_distinct(beside)).alias("x")).select("id", "x.before", "x.after"))
+    words = low.select(F.explode(F.split("t", r"\P{L}+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("all"))
+    for side in ("before", "after"):
+        near = numbers.groupBy(F.col(side).alias("w")).agg(F.countDistinct("id").alias("n")).where("n > 2")
+        goes = near.join(shuffled(words), "w").where(F.col("n") >= BESIDE * F.col("all")).select(F.col("w").alias(side))
+        numbers = numbers.join(shuffled(goes), side)
+    bare = blocks.where("first is not null and text is not null and not contains(text, '\n')").select("id")
+    return numbers.join(shuffled(bare), "id").groupBy("id").agg(F.collect_set(F.struct("before", "after")).alias("running"))  # of one block
 
 
 def features(lines: list[str], repeated: set[str], first: int | None, last: int | None) -> list[tuple[int, ...]]:
@@ -228,13 +236,16 @@ def read_text(model: LineModel, text: str, repeated: set[str], first: int | None
     return "\n".join(body), headers, pages
 
 
-def read_title(title: str, first: int | None, last: int | None) -> tuple[str, list[str]]:
-    """(title, pages): a page number after leaders or a wide gap is taken off."""
-    m = re.match(rf"^(.*?\S)(?:\s*\.{{3,}}\s*|\s{{2,}}|\s*[|·–—]\s*)({_PAGE})\s*$", title)
-    if m:
-        return m[1], [m[2]]
-    m = re.match(rf"^({_PAGE})(?:\s{{2,}}|\s*[|·–—]\s*)(\S.*)$", title)
-    return (m[2], [m[1]]) if m and page_in(m[1], first, last) else (title, [])
+def read_title(model: LineModel, title: str, first: int | None, last: int | None) -> tuple[str, list[str]]:
+    """(title, pages): a number parted from the title by leaders, a wide gap or a mark is put on a line of its own, and the line model decides if it is a page."""
+    lines, at, pages = [title], 0, (first, last)
+    if m := re.match(rf"^(.*?\S)(?:\s*\.{{3,}}\s*|\s{{2,}}|\s*[|·–—]\s*)({_PAGE})\s*$", title):
+        lines, at, pages = [m[1], m[2]], 1, (None, None)  # a list of contents names pages of any place
+    elif m := re.match(rf"^({_PAGE})(?:\s{{2,}}|\s*[|·–—]\s*)(\S.*)$", title):
+        lines = [m[1], m[2]]
+    if len(lines) == 1 or model.decode(features(lines, set(), *pages))[at] != STATES.index("break"):
+        return title, []
+    return lines[1 - at], [lines[at]]
 
 
 def pieces(body: str) -> tuple[list[str], list[tuple[str, str, bool]], list[str]]:
@@ -283,28 +294,28 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
     lines = blocks.where("text is not null").select("id", "paper", F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 4 and 100")
     lines = lines.select("id", "paper", F.trim(F.regexp_replace(norm_key(F.col("line")), "[0-9]+| (?=[ivxlc]+$)[ivxlc]+$", " ")).alias("key")).select("id", "paper", F.regexp_replace("key", " +", " ").alias("key")).where("key <> ''").distinct()
     often = lines.groupBy("paper", "key").agg(F.count("*").alias("n")).where("n > 1")
-    marked = lines.join(often, ["paper", "key"]).groupBy("id").agg(F.collect_set("key").alias("repeated"))  # lines of one block
-    rows = cut(blocks.join(marked, "id", "left"))
-    take = rows.where("text <> ''").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_BLOCKS).select("text", "repeated", "first", "last").collect()
-    around = number_contexts([r[0] for r in take])
-    model = LineModel([features(unfold(r[0], r[2], r[3], around).split("\n"), set(r[1] or ()), r[2], r[3]) for r in take])
-    sent = blocks.sparkSession.sparkContext.broadcast((model, around))
+    marked = lines.join(shuffled(often), ["paper", "key"]).groupBy("id").agg(F.collect_set("key").alias("repeated"))  # lines of one block
+    rows = cut(blocks.join(shuffled(marked), "id", "left").join(shuffled(running_numbers(blocks)), "id", "left"))
+    pairs = lambda r: {(x["before"], x["after"]) for x in r} if r is not None else set()
+    take = rows.where(f"text <> '' and length(text) <= {SAMPLE_CHARS}").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_BLOCKS).select("text", "repeated", "first", "last", "running").collect()
+    model = LineModel([features(unfold(r[0], r[2], r[3], pairs(r[4])).split("\n"), set(r[1] or ()), r[2], r[3]) for r in take])
+    sent = blocks.sparkSession.sparkContext.broadcast(model)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        line_model = sent.value
         for pdf in frames:
             out = []
-            line_model, near = sent.value
-            for i, title, text, first, last, rep in zip(pdf["id"], pdf["title"], pdf["text"], pdf["first"], pdf["last"], pdf["repeated"]):
+            for i, title, text, first, last, rep, near in zip(pdf["id"], pdf["title"], pdf["text"], pdf["first"], pdf["last"], pdf["repeated"], pdf["running"]):
                 lo, hi = (None if x is None or x != x else int(x) for x in (first, last))
                 if text:
-                    body, headers, pages = read_text(line_model, unfold(text, lo, hi, near), set(rep) if rep is not None else set(), lo, hi)
+                    body, headers, pages = read_text(line_model, unfold(text, lo, hi, pairs(near)), set(rep) if rep is not None else set(), lo, hi)
                     out.append((i, "text", body, headers, pages, *pieces(body)))
                 if title:
-                    body, pages = read_title(title, lo, hi)
+                    body, pages = read_title(line_model, title, lo, hi)
                     out.append((i, "section_title", body, [], pages, *pieces(body)))
             yield pd.DataFrame(out, columns=["id", "field", "body", "headers", "pages", "words", "breaks", "spaced"])
 
-    return rows.select("id", "title", "text", "first", "last", "repeated").mapInPandas(read, PARTS)
+    return rows.select("id", "title", "text", "first", "last", "repeated", "running").mapInPandas(read, PARTS)
 
 
 def word_readings(counts: DataFrame, ratio: int = 12, least: int = 8) -> DataFrame:
@@ -318,7 +329,7 @@ def word_readings(counts: DataFrame, ratio: int = 12, least: int = 8) -> DataFra
     known = counts.select(F.col("w").alias("to"), F.col("n").alias("m"))
     enough = (F.col("m") >= F.col("n") * ratio) & (F.col("m") >= least)
     marked = F.col("w").rlike("[a-z][0-9!|$@†]|[0-9!|$@†][a-z]") & (F.col("m") > F.col("n"))
-    near = may.join(known, "to").where(enough & (F.length("w") > 3) | marked & (F.length("w") > 2) | marked & enough)
+    near = may.join(shuffled(known), "to").where(enough & (F.length("w") > 3) | marked & (F.length("w") > 2) | marked & enough)
     return near.groupBy("w").agg(F.max_by("to", F.struct("m", "to")).alias("to"))
 
 
@@ -332,13 +343,13 @@ def repairs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = parts.select("id", "field", F.explode("words").alias("w"))
     counts = cut(words.groupBy("w").agg(F.count("*").alias("n")))
     better = cut(word_readings(counts))
-    known = counts.join(better, "w", "left_anti").where("n > 1 or w not rlike '[0-9]'")
-    misread = words.distinct().join(better, "w").select("id", "field", F.lit("misread").alias("kind"), F.col("to").alias("item"), F.col("w").alias("printed"))
+    known = counts.join(shuffled(better), "w", "left_anti").where("n > 1 or w not rlike '[0-9]'")
+    misread = words.distinct().join(shuffled(better), "w").select("id", "field", F.lit("misread").alias("kind"), F.col("to").alias("item"), F.col("w").alias("printed"))
     # spaced-out words: the letters together, or without a first or last one that is a word of its own
     sp = parts.select("id", "field", F.explode("spaced").alias("s")).distinct()
     cuts3 = F.array(F.struct(F.lit(0).alias("k"), F.col("s").alias("w")), F.struct(F.lit(1).alias("k"), F.expr("substring(s, 2)").alias("w")), F.struct(F.lit(1).alias("k"), F.expr("left(s, length(s) - 1)").alias("w")))
     sp = sp.select("id", "field", "s", F.explode(cuts3).alias("x")).select("id", "field", "s", "x.k", "x.w")
-    sp = sp.join(better, "w", "left").withColumn("w", F.coalesce("to", "w")).drop("to").join(known.where("n > 1"), "w")
+    sp = sp.join(shuffled(better), "w", "left").withColumn("w", F.coalesce("to", "w")).drop("to").join(shuffled(known.where("n > 1")), "w")
     sp = sp.groupBy("id", "field", "s").agg(F.min_by("w", F.struct("k", (-F.col("n")).alias("n"))).alias("item"))
     spaced = sp.select("id", "field", F.lit("misread").alias("kind"), "item", F.col("s").alias("printed"))
     # broken words: one word, or one with a hyphen of its own, whichever the corpus has more of
@@ -346,7 +357,7 @@ def repairs(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     tail = F.regexp_extract("l", "([^-]*)$", 1)
     forms = F.array(F.struct(F.lit(1).alias("k"), F.concat("l", "r").alias("w")), F.struct(F.lit(2).alias("k"), F.concat("l", F.lit("-"), "r").alias("w")), F.struct(F.lit(3).alias("k"), F.concat(tail, F.col("r")).alias("w")))
     br = br.select("*", F.explode(forms).alias("f")).select("id", "field", "l", "r", "nl", "f.k", "f.w").distinct()
-    br = br.join(better, "w", "left").withColumn("w", F.coalesce("to", "w")).drop("to").join(known, "w", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    br = br.join(shuffled(better), "w", "left").withColumn("w", F.coalesce("to", "w")).drop("to").join(shuffled(known), "w", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = br.groupBy("id", "field", "l", "r", "nl").agg(F.max_by(F.struct("k", "w", "n"), F.struct("n", (-F.col("k")).alias("k"))).alias("m"))
     whole = F.when(F.col("m.k") == 3, F.concat(F.regexp_extract("l", "^(.*-)[^-]*$", 1), F.col("m.w"))).otherwise(F.col("m.w"))
     hyphen = best.where("nl or m.n > 0").select("id", "field", F.lit("hyphen").alias("kind"), whole.alias("item"), F.concat("l", F.lit(" "), "r").alias("printed"))
@@ -363,7 +374,7 @@ def repaired(parts: DataFrame, items: DataFrame) -> DataFrame:
     def mend(body: pd.Series, fixes: pd.Series) -> pd.Series:
         return pd.Series([rebuild(b, {x["printed"]: x["item"] for x in f} if f is not None else {}) for b, f in zip(body, fixes)])
 
-    done = parts.join(fixes, ["id", "field"], "left").select("id", "field", mend("body", "fixes").alias("t"))
+    done = parts.join(shuffled(fixes), ["id", "field"], "left").select("id", "field", mend("body", "fixes").alias("t"))
     return done.groupBy("id").agg(F.max(F.when(F.col("field") == "section_title", F.col("t"))).alias("section_title"), F.max(F.when(F.col("field") == "text", F.col("t"))).alias("text"))
 
 
