@@ -40,21 +40,6 @@ def in22_state(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("citation_id").agg(F.max_by("source", "harvested_at").alias("last_source"), F.count("*").alias("attempts"), F.min("harvested_at").alias("first"), F.max("harvested_at").alias("last"))
 
 
-def rb3_headings(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered headings and their level."""
-    b = blocks(spark, sf).where("section_title is not null")
-    number = F.regexp_extract("section_title", r"^\s*(\d+(?:\.\d+)*)\.?\s+[A-Za-z]", 1)
-    return b.groupBy(F.when(number != "", F.size(F.split(number, r"\."))).otherwise(0).alias("level")).agg(F.count("*").alias("n"), F.countDistinct("section_title").alias("titles"))
-
-
-def rb9_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """Per paper: blocks, orders used twice, gaps in the order, blocks without section or text."""
-    b = blocks(spark, sf).where("paper_id is not null")
-    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
-    a = b.groupBy("paper_id").agg(F.count("*").alias("blocks"), F.countDistinct("block_order").alias("orders"), F.max("block_order").alias("last"), n(F.col("section_kind").isNull()).alias("no_kind"), n((F.coalesce(F.trim("text"), F.lit("")) == "") & (F.col("reading_type") == "paragraph")).alias("empty"))
-    return a.select("paper_id", "blocks", (F.col("blocks") - F.col("orders")).alias("repeated"), (F.col("last") - F.col("orders")).alias("missing"), "no_kind", "empty", F.when((F.col("blocks") == F.col("orders")) & (F.col("no_kind") == 0), "ok").otherwise("needs_fix").alias("status"))
-
-
 def el1_prompt_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks for extraction: included, with text or caption, cut at 700 characters for the prompt."""
     b = blocks(spark, sf).where("coalesce(include, false)")
@@ -190,10 +175,6 @@ SQL = {
     "in17_dedupe": "with f as (select text, min(doc_id) first from documents where trim(text) <> '' group by 1) select case when f.text is null then 'no_full_text' when doc_id = first then 'kept' else 'duplicate' end status, count(*) n, min(doc_id) first from documents d left join f on d.text = f.text group by 1",
     "in20_next_id": "select coalesce(max(try_cast(nullif(regexp_extract(paper_id, '^S([0-9]+)$', 1), '') as bigint)), 0) + 1 as next from papers",
     "in22_state": "select citation_id, arg_max(source, harvested_at) last_source, count(*) attempts, min(harvested_at) as first, max(harvested_at) as last from citations group by 1",
-    "rb3_headings": B + r""", n as (select section_title, regexp_extract(section_title, '^\s*(\d+(?:\.\d+)*)\.?\s+[A-Za-z]', 1) x from b where section_title is not null)
- select case when x <> '' then len(string_split(x, '.')) else 0 end as level, count(*) n, count(distinct section_title) titles from n group by 1""",
-    "rb9_validation": B + """, a as (select paper_id, count(*) blocks, count(distinct block_order) orders, max(block_order) as last, sum((section_kind is null)::int) no_kind, sum(coalesce(coalesce(trim(text), '') = '' and reading_type = 'paragraph', false)::int) empty from b where paper_id is not null group by 1)
- select paper_id, blocks, blocks - orders repeated, last - orders missing, no_kind, empty, case when blocks = orders and no_kind = 0 then 'ok' else 'needs_fix' end status from a""",
     "el1_prompt_blocks": B + ", t as (select id, coalesce(nullif(trim(text), ''), trim(caption)) t from b where coalesce(include_in_reading, false)) select id, substring(t, 1, 700) prompt from t where t <> ''",
     "ev8_overlap": W + f", x as (select facet, {_WS.format('surface')} s, {_WS.format('quote')} q from occ where surface is not null and quote is not null), y as (select facet, len(list_intersect(s, q)) / len(s) r from x where len(s) > 0) select facet, count(*) n, round(avg(r), 6) recall, sum((r < 0.55)::int) short from y group by 1",
     "ev24_even_sample": W + ", x as (select paper_id, row_number() over (order by paper_id) - 1 as pos, count(*) over () n from pap) select paper_id, pos from x where pos % greatest(1, n // 20) = 0 order by pos limit 20",

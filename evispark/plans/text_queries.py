@@ -38,27 +38,6 @@ def rb2_section_kind(spark: SparkSession, sf: str) -> DataFrame:
     return b.groupBy("section_title", E.section_kind(F.col("section_title")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-def rb13_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("text")
-    return blocks(spark, sf).select("id", E.incomplete(t).alias("incomplete"), E.dangling(t).alias("dangling"), E.continues(t).alias("continues"))
-
-
-def rb14_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks and characters per section kind."""
-    b = blocks(spark, sf).groupBy("section_kind").agg(F.count("*").alias("blocks"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"), F.countDistinct("paper_id").alias("papers"))
-    return b
-
-
-def rb15_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Incomplete paragraphs whose next block doesn't go on with them, and continuations without a start, per paper."""
-    b = blocks(spark, sf).where("reading_type = 'paragraph' and paper_id is not null")
-    w = Window.partitionBy("paper_id").orderBy("block_order", "id")
-    f = b.withColumn("inc", E.incomplete(F.col("text"))).withColumn("con", E.continues(F.col("text")))
-    f = f.withColumn("next", F.coalesce(F.lead("con").over(w), F.lit(False))).withColumn("prev", F.coalesce(F.lag("inc").over(w), F.lit(False)))
-    n = lambda c: F.sum(c.cast("int"))
-    return f.groupBy("paper_id").agg(F.count("*").alias("paragraphs"), n(F.col("inc") & ~F.col("next")).alias("open_ends"), n(F.col("con") & ~F.col("prev")).alias("loose_starts"))
-
-
 def rb16_context(spark: SparkSession, sf: str) -> DataFrame:
     """Each block with the ids before and after it in its paper."""
     w = Window.partitionBy("paper_id").orderBy("block_order", "id")
@@ -146,11 +125,6 @@ SQL = {
     "rb2_section_kind": B + f""", t as (select section_title, {_T2} t from b) select section_title, case when t in ('abstract', 'a_b_s_t_r_a_c_t') then 'abstract' when contains(t, 'keyword') then 'keywords' when contains(t, 'introduction') then 'introduction'
  when {_like('t', ['method', 'experiment', 'simulation', 'computational'])} then 'methods' when {_like('t', ['result', 'discussion', 'analysis'])} then 'results_discussion' when {_like('t', ['conclusion', 'summary'])} then 'conclusion'
  when contains(t, 'reference') then 'references' else 'body' end kind, count(*) n from t group by 1, 2""",
-    "rb13_predicates": B + f"select id, {_INC} incomplete, {_DAN} dangling, {_CON} continues from b",
-    "rb14_report": B + "select section_kind, count(*) blocks, sum(length(coalesce(text, ''))) chars, count(distinct paper_id) papers from b group by 1",
-    "rb15_audit": B + f""", f as (select paper_id, block_order, id, {_INC} inc, {_CON} con from b where reading_type = 'paragraph' and paper_id is not null),
- g as (select *, coalesce(lead(con) over w, false) nx, coalesce(lag(inc) over w, false) pv from f window w as (partition by paper_id order by block_order, id))
- select paper_id, count(*) paragraphs, sum((inc and not nx)::int) open_ends, sum((con and not pv)::int) loose_starts from g group by 1""",
     "rb16_context": B + "select id, lag(id) over w before, lead(id) over w as after from b where paper_id is not null window w as (partition by paper_id order by block_order, id)",
     "ev1_relevant": B + f""", k as (select paper_id, id, block_order, section_kind, reading_type, {_SQZ.format("concat_ws(' ', text, caption)")} t from b where coalesce(include_in_reading, true) and not {_IN('reading_type', E.SKIPPED_TYPES)}),
  s as (select *, 100 * {_IN('section_kind', E.FRONT_SECTIONS)}::int + 80 * {_IN('section_kind', E.CORE_SECTIONS)}::int + 40 * {_IN('reading_type', ['section_heading', 'keywords'])}::int + 35 * {_IN('reading_type', ['table', 'figure'])}::int

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evispark import keys
 from evispark.functions.quantities import KNOWN, mentions, number
-from evispark.operators import evidence, graph, quotes, registry, resolution, units
+from evispark.operators import blocks, evidence, graph, quotes, registry, resolution, units
 from evispark.operators.components import connected_components
 from evispark.plans import queries as core
 from evispark.sources import bibliography, library
@@ -195,6 +195,50 @@ def test_quotes(spark):
     assert r.select(quotes.repaired_quote(F.col("q"), F.col("t")), quotes.in_block(F.col("q"), F.col("t"))).first()[:] == ("Gas was stored in the large cell then.", False)
 
 
+BLOCK = "paper_id string, ord int, section_id string, section_kind string, reading_type string, include boolean, page_start int, page_end int, source_ids array<string>, text string, join_reason string, confidence double"
+
+
+def _block(n, text, kind="paragraph", section="s1", include=True, section_kind="results", ids=None, pages=(1, 1), paper="p"):
+    return (paper, n, section, section_kind, kind, include, *pages, ids or [f"b{n}"], text, "", 1.0)
+
+
+def test_interrupted_paragraphs(spark):
+    rows_ = [
+        _block(1, "The gas was stored in the", pages=(1, 1)), _block(2, None, "figure"), _block(3, "Where x is the pressure of the cell."), _block(4, "Cell until it was used again.", pages=(2, 2)),
+        _block(5, "A whole sentence stands here."), _block(6, "and it goes on after the page.", section_kind="results"), _block(7, "the next section is apart", section="s2"), _block(8, "and stays so.", section="s3"),
+        _block(9, "One unfinished list of many", section="s4", section_kind="references"), _block(10, "and its rest.", section="s4", section_kind="references"), _block(1, "", paper="q"), _block(2, None, paper="q"),
+    ]
+    got = {(r["paper_id"], r["ord"]): r for r in blocks.coalesce_paragraphs(spark.createDataFrame(rows_, BLOCK)).collect()}
+    assert got["p", 1]["text"] == "The gas was stored in the Cell until it was used again." and got["p", 1]["source_ids"] == ["b1", "b4"] and (got["p", 1]["page_start"], got["p", 1]["page_end"], got["p", 1]["confidence"]) == (1, 2, 0.75)
+    assert got["p", 4]["text"] == "A whole sentence stands here. and it goes on after the page." and "continuation paragraph" in got["p", 4]["join_reason"]
+    assert [got["p", n]["text"] for n in (5, 6, 7, 8)] == ["the next section is apart", "and stays so.", "One unfinished list of many", "and its rest."] and len(got) == 10
+    assert blocks.coalesce_paragraphs(spark.createDataFrame([], BLOCK)).count() == 0
+
+
+def test_skips_end(spark):
+    far = [_block(1, "The gas was stored in the"), *[_block(k, None, "figure") for k in range(2, 11)], _block(11, "and used again.")]
+    near = far[:9] + [_block(10, "and used again.")]
+    count = lambda x: blocks.coalesce_paragraphs(spark.createDataFrame(x, BLOCK)).count()
+    assert count(far) == len(far) and count(near) == len(near) - 1
+
+
+def test_first_page(spark):
+    rows_ = [_block(1, "We report a gas. which fills", section="a", section_kind="abstract", ids=["x", "y"]), _block(2, "Introduction", "section_heading", section="i", section_kind="introduction"), _block(3, "The pores of rock are known to hold the gas", section="i", section_kind="introduction", pages=(1, 1))]
+    content = spark.createDataFrame([("p", "x", 1, "We report a gas."), ("p", "y", 2, "which fills"), ("p", "b3", 1, "The pores")], "paper_id string, block_id string, page int, text string")
+    got = {r["ord"]: r for r in blocks.untangle_first_page(spark.createDataFrame(rows_, BLOCK), content).collect()}
+    assert got[1]["text"] == "We report a gas." and got[1]["source_ids"] == ["x"] and got[3]["source_ids"] == ["b3", "y"] and got[3]["text"].endswith("hold the gas which fills") and got[3]["page_end"] == 2 and got[3]["confidence"] == 0.65
+    same = {r["ord"]: r["source_ids"] for r in blocks.untangle_first_page(spark.createDataFrame(rows_[:2], BLOCK), content).collect()}
+    assert same[1] == ["x", "y"]
+
+
+def test_letters_titles_dois(spark):
+    df = spark.createDataFrame([("a j o u r n a l of X Y gas i s",), ("",), ("a b",)], "t string")
+    assert [r[0] for r in df.select(blocks.fused_letters(F.col("t"))).collect()] == ["ajournal of X Y gas i s", "", "a b"]
+    one = lambda f, x: spark.createDataFrame([(x,)], "t string").select(f(F.col("t"))).first()[0]
+    assert one(blocks.stem_title, "S12_2016_Lee_gas_fl ow_in_pores_j.fuel.2016.12.001") == "gas flow in pores" and one(blocks.stem_title, None) == ""
+    assert [one(blocks.doi_in, x) for x in ("see 10.1000/abc.5.", "j.fuel-2016.12_001", "x C5RA12345A y", "aic_15123", "123456-pa", None)] == ["10.1000/abc.5", "10.1016/j.fuel.2016.12.001", "10.1039/C5RA12345A", "10.1002/aic.15123", "10.2118/123456-PA", ""]
+
+
 def test_parse_values(spark):
     df = spark.createDataFrame([("0.1-30 MPa then 4 h at 400 rpm",), ("cooled to -10 °C",), ("25MPa",), ("under nitrogen",)], "q string")
     got = [[tuple(x) for x in r[0]] for r in df.select(evidence.parse_values(F.col("q"))).collect()]
