@@ -291,6 +291,7 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
 
     A line that stands in two or more blocks of its paper counts as repeated; counting is by aggregate, so a paper of any size is no single task.
     """
+    blocks = cut(blocks)
     lines = blocks.where("text is not null").select("id", "paper", F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 4 and 100")
     lines = lines.select("id", "paper", F.trim(F.regexp_replace(norm_key(F.col("line")), "[0-9]+| (?=[ivxlc]+$)[ivxlc]+$", " ")).alias("key")).select("id", "paper", F.regexp_replace("key", " +", " ").alias("key")).where("key <> ''").distinct()
     often = lines.groupBy("paper", "key").agg(F.count("*").alias("n")).where("n > 1")
