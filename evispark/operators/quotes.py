@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispark.keys import nfkc, norm_loose, norm_tight, squeeze
+from evispark.keys import nfkc, norm_loose, norm_tight, short_text, squeeze
 from evispark.operators.evidence import parse_values, sentences
 
 # Fixed value: the least number of characters that a fragment of a quote must have to count.
@@ -64,14 +64,19 @@ def backfilled(old: DataFrame, found: DataFrame) -> DataFrame:
     return old.where("facet is null or facet <> 'finding'").unionByName(found.where("facet = 'finding' and reason = ''").select(*old.columns))
 
 
-def words(c: Column) -> Column:
-    """Distinct lower-case words of letters and digits."""
-    return F.array_remove(F.array_distinct(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " ")), "")
+# Fixed value: what counts as a term of a quote.
+TERM = r"([A-Za-z0-9𝛒𝛟𝛉𝛋𝛑ηρφθκπ][A-Za-z0-9𝛒𝛟𝛉𝛋𝛑ηρφθκπ/*.+-]*)"
+
+
+def terms(c: Column) -> Column:
+    """Distinct lower-case terms of two characters or more."""
+    t = F.regexp_extract_all(squeeze(F.coalesce(c, F.lit(""))), F.lit(TERM), F.lit(1))
+    return F.array_distinct(F.transform(F.filter(t, lambda x: F.length(x) >= 2), lambda x: F.lower(x)))
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Share of the words of `a` that `b` has; 0 where `a` has none."""
-    return F.when(F.size(words(a)) > 0, F.size(F.array_intersect(words(a), words(b))) / F.size(words(a))).otherwise(0.0)
+    """Share of the terms of `a` that `b` has; 0 where `a` has none."""
+    return F.when(F.size(terms(a)) > 0, F.size(F.array_intersect(terms(a), terms(b))) / F.size(terms(a))).otherwise(0.0)
 
 
 def in_block(quote: Column, text: Column) -> Column:
@@ -81,7 +86,23 @@ def in_block(quote: Column, text: Column) -> Column:
 
 
 def repaired_quote(quote: Column, text: Column, least: float = 0.55) -> Column:
-    """The quote if it stands in the text, else the first sentence that shares most of the quote's words, if at least `least`; else null."""
+    """The quote if it stands in the text, else the first sentence that shares most of its terms (cut at 520), if at least `least` of them; else the quote as it is."""
     scored = F.transform(sentences(text), lambda s, i: F.struct(overlap(quote, s).alias("score"), (-i).alias("at"), s.alias("s")))
     best = F.array_max(scored)
-    return F.when(in_block(quote, text), squeeze(quote)).when(best["score"] >= least, best["s"])
+    return F.when(in_block(quote, text), squeeze(quote)).when(best["score"] >= least, short_text(best["s"], 520)).otherwise(squeeze(quote))
+
+
+def grounded(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(card, quotes, in_cited, elsewhere, ungrounded, rate) of quotes (card, reading_block_id, quote) against blocks (card, id, place, text).
+
+    By letters alone, fragments of LEAST_FRAGMENT letters or more; quotes without one don't count. `elsewhere`: all fragments stand in the paper's text as a whole, but not in the cited block.
+    """
+    b = blocks.select("card", "id", "place", norm_loose(F.coalesce("text", F.lit(""))).alias("t"))
+    whole = b.groupBy("card").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id", "t"))), lambda x: x["t"]), "").alias("whole"))  # one paper's text
+    q = quotes.select("card", F.col("reading_block_id").alias("id"), F.filter(F.transform(fragments(F.coalesce("quote", F.lit(""))), norm_loose), lambda f: F.length(f) >= LEAST_FRAGMENT).alias("f")).where("size(f) > 0")
+    j = q.join(whole, "card").join(b.select("card", "id", "t"), ["card", "id"], "left")
+    cited = F.forall("f", lambda f: F.contains(F.coalesce("t", F.lit("")), f))
+    far = F.forall("f", lambda f: F.contains(F.col("whole"), f))
+    where = F.when(cited, "c").when(far, "e").otherwise("u")
+    g = j.withColumn("w", where).groupBy("card").agg(F.count("*").alias("quotes"), *[F.sum((F.col("w") == k).cast("int")).alias(n) for k, n in (("c", "in_cited"), ("e", "elsewhere"), ("u", "ungrounded"))])
+    return g.withColumn("rate", F.round(F.col("in_cited") / F.col("quotes"), 3))

@@ -47,23 +47,6 @@ def el1_prompt_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return b.withColumn("t", t).where("t <> ''").select("id", F.substring("t", 1, 700).alias("prompt"))
 
 
-def ev8_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of a surface's words that its quote has, per facet: mean, and rows that fall short of 0.55."""
-    o = latest(table(spark, sf, "occurrences"), ["occ_id"], "loaded_at", ["facet", "surface", "quote"]).where("surface is not null and quote is not null")
-    words = lambda c: F.array_remove(F.array_distinct(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " ")), "")
-    s = o.select("facet", words("surface").alias("s"), words("quote").alias("q")).where("size(s) > 0").select("facet", (F.size(F.array_intersect("s", "q")) / F.size("s")).alias("r"))
-    return s.groupBy("facet").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("recall"), F.sum((F.col("r") < 0.55).cast("int")).alias("short"))
-
-
-def ev24_even_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Twenty papers spread evenly over all, in order of id: a sampling operator."""
-    p = load(spark, sf).papers.select("paper_id")
-    n = p.count()
-    step = max(1, n // 20)
-    at = F.row_number().over(Window.orderBy("paper_id")) - 1
-    return p.withColumn("pos", at).where(F.col("pos") % step == 0).orderBy("pos").limit(20)
-
-
 def g15_route(spark: SparkSession, sf: str) -> DataFrame:
     """Journals by number of papers, the three titles to start with first: reviews, then the widest lists of findings, then id."""
     p = load(spark, sf).papers.where("trim(journal) <> ''").withColumn("j", F.lower(F.trim("journal")))
@@ -176,8 +159,6 @@ SQL = {
     "in20_next_id": "select coalesce(max(try_cast(nullif(regexp_extract(paper_id, '^S([0-9]+)$', 1), '') as bigint)), 0) + 1 as next from papers",
     "in22_state": "select citation_id, arg_max(source, harvested_at) last_source, count(*) attempts, min(harvested_at) as first, max(harvested_at) as last from citations group by 1",
     "el1_prompt_blocks": B + ", t as (select id, coalesce(nullif(trim(text), ''), trim(caption)) t from b where coalesce(include_in_reading, false)) select id, substring(t, 1, 700) prompt from t where t <> ''",
-    "ev8_overlap": W + f", x as (select facet, {_WS.format('surface')} s, {_WS.format('quote')} q from occ where surface is not null and quote is not null), y as (select facet, len(list_intersect(s, q)) / len(s) r from x where len(s) > 0) select facet, count(*) n, round(avg(r), 6) recall, sum((r < 0.55)::int) short from y group by 1",
-    "ev24_even_sample": W + ", x as (select paper_id, row_number() over (order by paper_id) - 1 as pos, count(*) over () n from pap) select paper_id, pos from x where pos % greatest(1, n // 20) = 0 order by pos limit 20",
     "g15_route": W + """, x as (select lower(trim(journal)) journal_key, paper_id, coalesce(regexp_matches(lower(title), 'review|overview'), false) review, coalesce(len(main_findings), 0) size from pap where trim(journal) <> '')
  select journal_key, paper_id, rank, review from (select *, row_number() over (partition by journal_key order by review desc, size desc, paper_id) rank from x) where rank <= 3""",
     "g18_fingerprints": W + "select paper_id, sha256(string_agg(element_id, '|' order by element_id)) fingerprint from used group by 1",

@@ -44,10 +44,6 @@ def rb16_context(spark: SparkSession, sf: str) -> DataFrame:
     return blocks(spark, sf).where("paper_id is not null").select("id", F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"))
 
 
-def ev1_relevant(spark: SparkSession, sf: str) -> DataFrame:
-    return E.relevant_blocks(blocks(spark, sf), 3).select("paper_id", "id", "score", "rank")
-
-
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
     b = blocks(spark, sf).where("text is not null")
     return b.select("id", "section_kind", F.posexplode(E.sentences(F.col("text"))).alias("pos", "s"))
@@ -126,10 +122,6 @@ SQL = {
  when {_like('t', ['method', 'experiment', 'simulation', 'computational'])} then 'methods' when {_like('t', ['result', 'discussion', 'analysis'])} then 'results_discussion' when {_like('t', ['conclusion', 'summary'])} then 'conclusion'
  when contains(t, 'reference') then 'references' else 'body' end kind, count(*) n from t group by 1, 2""",
     "rb16_context": B + "select id, lag(id) over w before, lead(id) over w as after from b where paper_id is not null window w as (partition by paper_id order by block_order, id)",
-    "ev1_relevant": B + f""", k as (select paper_id, id, block_order, section_kind, reading_type, {_SQZ.format("concat_ws(' ', text, caption)")} t from b where coalesce(include_in_reading, true) and not {_IN('reading_type', E.SKIPPED_TYPES)}),
- s as (select *, 100 * {_IN('section_kind', E.FRONT_SECTIONS)}::int + 80 * {_IN('section_kind', E.CORE_SECTIONS)}::int + 40 * {_IN('reading_type', ['section_heading', 'keywords'])}::int + 35 * {_IN('reading_type', ['table', 'figure'])}::int
-  + 30 * {_like('t', E.RELEVANT_WORDS)}::int + 10 * regexp_matches(t, '[0-9]')::int score from k where t <> '')
- select paper_id, id, score, rank from (select *, row_number() over (partition by paper_id order by score desc, block_order, id) rank from s where score > 0) where rank <= 3""",
     "ev3_sentences": _SEN + " select id, count(*) sentences, sum(length(s)) chars from sen group by 1",
     "ev4_scores": _SEN + f" select id, pos, case when section_kind in ('abstract', 'conclusion') then 40 when {_IN('section_kind', E.CORE_SECTIONS)} then 30 else 0 end + 15 * regexp_matches(s, '[0-9]')::int + " + " + ".join(f"{n} * contains(lower(s), '{w}')::int" for w, n in E.SENTENCE_WEIGHTS.items()) + " score from sen",
     "ev5_atom_types": _SEN + f""" select case when {_like('s', E.LIMITS)} then 'limitation' when {_like('s', E.RANGES)} and {_like('s', E.CHANGES)} then {_DIG} when {_like('s', E.RANGES)} then 'variable'
