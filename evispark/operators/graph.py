@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.operators.components import connected_components
+from evispark.session import cut
 
 
 def idf(features: DataFrame, n_papers: int) -> DataFrame:
@@ -21,9 +22,27 @@ def pair_scores(features: DataFrame, weights: DataFrame, n_papers: int, cap: flo
     Elements in more than max(5, N * cap) papers are left out where capped: they tell papers apart least and their pairs would be most.
     """
     w = weights.where(F.col("df") <= max(5, int(n_papers * cap))) if capped and cap < 1 else weights
-    f = features.join(w.select("element_id", "idf"), "element_id")
-    a, b = f.select(F.col("paper_id").alias("a"), "element_id", "idf"), f.select(F.col("paper_id").alias("b"), "element_id")
-    return a.join(b, "element_id").where("a < b").groupBy("a", "b").agg(F.round(F.sum("idf"), 9).alias("score"), F.count("*").alias("shared"))
+    return pair_sums(features.join(w.select("element_id", "idf"), "element_id"))
+
+
+#: Papers of one element in one slice of its pair join.
+SLICE = 2_000
+
+
+def pair_sums(f: DataFrame, sides: DataFrame | None = None) -> DataFrame:
+    """(a, b, score, shared) with a < b over features (paper_id, element_id, idf). An element of many papers is cut into slices, and each pair of slices is a task of its own.
+
+    With `sides` (paper_id) only pairs with one of these papers are formed.
+    """
+    parts = F.ceil(F.count("*") / SLICE).cast("int")
+    n = f.groupBy("element_id").agg(parts.alias("parts"))
+    g = f.join(n, "element_id").withColumn("slice", F.pmod(F.xxhash64("paper_id"), F.col("parts")).cast("int"))
+    mine = g if sides is None else g.join(sides, "paper_id", "left_semi")
+    x = mine.select(F.col("paper_id").alias("x"), "element_id", "idf", F.col("slice").alias("sx"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sy"))
+    y = g.select(F.col("paper_id").alias("y"), "element_id", F.col("slice").alias("sy"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sx"))
+    j = x.join(y, ["element_id", "sx", "sy"])
+    j = j.where("x < y") if sides is None else j.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "element_id", "idf").dropDuplicates(["x", "y", "element_id"])
+    return j.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.round(F.sum("idf"), 9).alias("score"), F.count("*").alias("shared"))
 
 
 def top_edges(scores: DataFrame, k: int = 8, least: float = 0.0) -> DataFrame:
@@ -41,25 +60,45 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(d, "paper_id", "left").select("paper_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
-def neighbours(features: DataFrame, weights: DataFrame, focus: DataFrame, k: int = 10) -> DataFrame:
-    """The k papers nearest to each paper of `focus` (paper_id): score and shared elements."""
+def neighbours(features: DataFrame, weights: DataFrame, focus: DataFrame, k: int = 10, names: DataFrame | None = None) -> DataFrame:
+    """The k papers nearest to each paper of `focus` (paper_id, a counted few): score (three digits), shared elements, and with `names` (element_id, display_name) the names of the three rarest shared ones."""
     mine = features.join(F.broadcast(focus), "paper_id", "left_semi").join(weights.select("element_id", "idf"), "element_id").select(F.col("paper_id").alias("focus"), "element_id", "idf")
     j = features.join(F.broadcast(mine), "element_id").where("paper_id <> focus")  # the elements of a few papers
-    s = j.groupBy("focus", "paper_id").agg(F.round(F.sum("idf"), 9).alias("score"), F.count("*").alias("shared"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("focus").orderBy(F.desc("score"), "paper_id"))).where(F.col("rank") <= k)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("idf", 9)).alias("w"), "element_id"))), 1, 3)
+    s = j.groupBy("focus", "paper_id").agg(F.round(F.sum("idf"), 9).alias("raw"), F.count("*").alias("shared"), best.alias("best"))  # the elements of one paper
+    s = s.where("raw > 0").withColumn("rank", F.row_number().over(Window.partitionBy("focus").orderBy(F.desc("raw"), "paper_id"))).where(F.col("rank") <= k)
+    s = s.select("focus", "paper_id", F.round("raw", 3).alias("score"), "shared", "rank", "best")
+    if names is None:
+        return s.drop("best")
+    e = s.select("focus", "paper_id", F.posexplode("best").alias("at", "b")).join(element_names(names), F.col("b.element_id") == F.col("element_id"), "left")
+    shown = F.coalesce("display_name", F.substring_index("b.element_id", "/", -1))
+    e = e.groupBy("focus", "paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", shown.alias("n")))), lambda x: x["n"]), " · ").alias("names"))
+    return s.drop("best").join(e, ["focus", "paper_id"])
+
+
+def element_names(elements: DataFrame) -> DataFrame:
+    """(element_id, display_name), one row per id; a blank name is the last part of the id."""
+    return elements.groupBy("element_id").agg(F.max("display_name").alias("n")).select("element_id", F.coalesce(F.nullif(F.trim("n"), F.lit("")), F.substring_index("element_id", "/", -1)).alias("display_name"))
 
 
-def label_propagation(edges: DataFrame, nodes: DataFrame, sweeps: int = 20, largest: int = 200_000) -> DataFrame:
-    """(paper_id, label): asynchronous weighted label propagation in node order, ties to the smallest label, at most `sweeps` sweeps.
+#: Nodes up to which a group is swept in one task; larger ones are swept by rounds over the whole table, with the same result.
+ONE_TASK = 20_000
 
-    Components don't act on each other, so each is swept on its own and the result is that of one sweep over all. A component of more than
-    `largest` nodes is refused with an error: its sweep is one task by nature; raise the edge threshold or lower the df cap instead.
+
+def label_propagation(edges: DataFrame, nodes: DataFrame, sweeps: int = 20, largest: int = ONE_TASK, by: str | None = None) -> DataFrame:
+    """(paper_id, label): asynchronous weighted label propagation in node order, ties to the smallest label, at most `sweeps` sweeps. Nodes without an edge keep their own.
+
+    Components don't act on each other, so each is swept on its own and the result is that of one sweep over all. With `by`, edges carry a column that keeps
+    groups apart; the result has it too, and components are not looked for.
     """
-    comp = connected_components(edges, "a", "b")
-    biggest = comp.groupBy("component").count().agg(F.max("count")).first()[0]
-    if biggest and biggest > largest:
-        raise ValueError(f"a component of {biggest} nodes; label propagation in order holds one component in one task")
-    e = edges.join(comp.select(F.col("node").alias("a"), "component"), "a").select("component", "a", "b", "score")
+    if by is None:
+        comp = connected_components(edges, "a", "b")
+        e = edges.join(comp.select(F.col("node").alias("a"), F.col("component").alias("_g")), "a").select("_g", "a", "b", "score")
+    else:
+        e = edges.select(F.col(by).alias("_g"), "a", "b", "score")
+    e = cut(e)
+    ends = e.select("_g", F.explode(F.array("a", "b")).alias("n")).distinct().groupBy("_g").agg(F.count("*").alias("size"))
+    big = cut(ends.where(F.col("size") > largest).select("_g"))
 
     def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[tuple[str, float]]] = {}
@@ -67,21 +106,50 @@ def label_propagation(edges: DataFrame, nodes: DataFrame, sweeps: int = 20, larg
             near.setdefault(a, []).append((b, s))
             near.setdefault(b, []).append((a, s))
         label = {n: n for n in near}
+        order = sorted(near)
+
+        def settle(n: str) -> bool:
+            votes: dict[str, float] = {}
+            for m, s in sorted(near[n]):
+                votes[label[m]] = votes.get(label[m], 0.0) + s
+            best = min((-round(v, 9), x) for x, v in votes.items())[1]
+            moved, label[n] = best != label[n], best
+            return moved
+
         for _ in range(sweeps):
-            changed = False
-            for n in sorted(near):
-                votes: dict[str, float] = {}
-                for m, s in sorted(near[n]):
-                    votes[label[m]] = votes.get(label[m], 0.0) + s
-                best = min(votes, key=lambda x: (-round(votes[x], 9), x))
-                if best != label[n]:
-                    label[n], changed = best, True
-            if not changed:
+            if not sum([settle(n) for n in order]):
                 break
-        return pd.DataFrame(sorted(label.items()), columns=["paper_id", "label"])
+        return pd.DataFrame([(pdf["_g"].iloc[0], n, label[n]) for n in order], columns=["_g", "paper_id", "label"])
 
-    found = e.groupBy("component").applyInPandas(sweep, "paper_id string, label string")
-    return nodes.join(found, "paper_id", "left").select("paper_id", F.coalesce("label", "paper_id").alias("label"))
+    schema = f"_g {e.schema['_g'].dataType.simpleString()}, paper_id string, label string"
+    found = e.join(big, "_g", "left_anti").groupBy("_g").applyInPandas(sweep, schema)
+    if not big.isEmpty():
+        found = found.unionByName(_sweep_by_rounds(e.join(big, "_g", "left_semi"), sweeps))
+    if by is not None:
+        return found.withColumnRenamed("_g", by)
+    return nodes.join(found.drop("_g"), "paper_id", "left").select("paper_id", F.coalesce("label", "paper_id").alias("label"))
+
+
+def _sweep_by_rounds(edges: DataFrame, sweeps: int) -> DataFrame:
+    """The sweeps of `label_propagation` over tables of any size: within a sweep a node sees the new labels of smaller nodes and the old ones of larger nodes, and rounds are repeated until
+    no label changes, which is the one solution of that rule. Each round is a join and an aggregate.
+    """
+    near = cut(edges.select("_g", F.col("a").alias("n"), F.col("b").alias("m"), "score").unionAll(edges.select("_g", F.col("b"), F.col("a"), "score")))
+    old = cut(near.select("_g", "n").distinct().withColumn("label", F.col("n")))
+    for _ in range(sweeps):
+        now = old
+        while True:
+            seen = old.select("_g", F.col("n").alias("m"), F.col("label").alias("before")).join(now.select("_g", F.col("n").alias("m"), F.col("label").alias("after")), ["_g", "m"])
+            votes = near.join(seen, ["_g", "m"]).groupBy("_g", "n", F.when(F.col("m") < F.col("n"), F.col("after")).otherwise(F.col("before")).alias("label")).agg(F.round(F.sum("score"), 9).alias("v"))
+            best = cut(votes.groupBy("_g", "n").agg(F.min(F.struct((-F.col("v")).alias("v"), "label")).alias("b")).select("_g", "n", F.col("b.label").alias("label")))
+            same = best.join(now.withColumnRenamed("label", "was"), ["_g", "n"]).where("label <> was").isEmpty()
+            now = best
+            if same:
+                break
+        if now.join(old.withColumnRenamed("label", "was"), ["_g", "n"]).where("label <> was").isEmpty():
+            break
+        old = now
+    return now.select("_g", F.col("n").alias("paper_id"), "label")
 
 
 def name_groups(features: DataFrame, weights: DataFrame, groups: DataFrame, names: DataFrame, n_papers: int) -> DataFrame:
@@ -89,7 +157,7 @@ def name_groups(features: DataFrame, weights: DataFrame, groups: DataFrame, name
     size = groups.groupBy("group").agg(F.count("*").alias("size"))
     c = features.join(groups, "paper_id").groupBy("group", "element_id").agg(F.count("*").alias("c")).join(size, "group").join(weights, "element_id")
     coverage = F.col("c") / F.col("size")
-    lift = coverage / ((F.col("df") - F.col("c") + 0.5) / (F.lit(float(n_papers)) - F.col("size") + 0.5))
+    lift = coverage / ((F.col("df") - F.col("c") + 0.5) / F.greatest(F.lit(float(n_papers)) - F.col("size"), F.lit(1.0)))
     s = c.withColumn("score", F.round(coverage * F.least(lift, F.lit(50.0)), 9)).withColumn("wide", coverage >= 0.25)
     rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("wide"), F.desc("score"), F.desc(F.round("idf", 9)), "element_id"))
     best = s.withColumn("r", rank).where("r <= 2").join(names, "element_id")

@@ -44,8 +44,8 @@ def g4_weak_edges(spark: SparkSession, sf: str) -> DataFrame:
     _, f, n, w = _material(spark, sf)
     edges = G.top_edges(G.pair_scores(f, w, n), 8, 6.0)
     lonely = f.select("paper_id").distinct().join(edges.select(F.explode(F.array("a", "b")).alias("paper_id")).distinct(), "paper_id", "left_anti")
-    all_pairs = G.pair_scores(f, w, n, capped=False)
-    ends = all_pairs.select("a", "b", "score", F.explode(F.array("a", "b")).alias("node")).join(lonely.withColumnRenamed("paper_id", "node"), "node", "left_semi")
+    pairs = G.pair_sums(f.join(w.select("element_id", "idf"), "element_id"), lonely)
+    ends = pairs.select("a", "b", "score", F.explode(F.array("a", "b")).alias("node")).join(lonely.withColumnRenamed("paper_id", "node"), "node", "left_semi")
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "a", "b"))
     return ends.withColumn("r", rank).where("r <= 2 and score > 0").select("node", "a", "b", F.round(F.col("score") * 0.5, 6).alias("score"))
 
@@ -59,9 +59,13 @@ def g6_label_propagation(spark: SparkSession, sf: str) -> DataFrame:
     return G.label_propagation(edges, ix.papers.select("paper_id"))
 
 def g7_communities(spark: SparkSession, sf: str) -> DataFrame:
-    """Label groups numbered by size."""
-    n = g6_label_propagation(spark, sf).groupBy("label").agg(F.count("*").alias("size"))
-    return n.withColumn("community", F.row_number().over(Window.orderBy(F.desc("size"), "label")))
+    """Label groups of ten sweeps, numbered by size; equal sizes share a number."""
+    ix, f, n, w = _material(spark, sf)
+    edges = cut(G.top_edges(G.pair_scores(f, w, n)))
+    c = cut(G.label_propagation(edges, ix.papers.select("paper_id"), 10).groupBy("label").agg(F.count("*").alias("size")))
+    larger = c.groupBy("size").agg(F.lit(1).alias("_"))
+    number = larger.withColumn("community", F.dense_rank().over(Window.orderBy(F.desc("size")))).drop("_")  # one row per size
+    return c.join(number, "size").select("label", "size", "community")
 
 def g10_special(spark: SparkSession, sf: str) -> DataFrame:
     """Papers without features: those with no occurrence at all, and those whose occurrences lie outside the lens."""
@@ -75,12 +79,6 @@ def g11_names(spark: SparkSession, sf: str) -> DataFrame:
     groups = journals(ix).join(f.select("paper_id").distinct(), "paper_id", "left_semi")
     return G.name_groups(f, w, groups, ix.elements.select("element_id", "display_name"), n).withColumnRenamed("group", "journal_key")
 
-def g13_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    ix, f, _, w = _material(spark, sf)
-
-    focus = f.agg(F.min("paper_id").alias("paper_id"))
-    return G.neighbours(f, w, focus)
-
 def g14_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return G.load_sessions(table(spark, sf, "papers").select("loaded_at"))
 
@@ -157,10 +155,8 @@ SQL = {
     "g10_special": W + _MAT + """select paper_id, case when paper_id in (select paper_id from r) then '__nofacet__' else '__unbuilt__' end "group" from pap where paper_id not in (select paper_id from f)""",
     "g11_names": W + _MAT + """, gr as (select g, paper_id from jr where paper_id in (select paper_id from f)), sz as (select g, count(*) size from gr group by 1),
  c as (select g, element_id, df, idf, size, count(*) c from f join gr using (paper_id) join sz using (g) join w using (element_id) group by 1, 2, 3, 4, 5),
- sc as (select *, round(c / size * least(c / size / ((df - c + 0.5) / ((select n from n) - size + 0.5)), 50.0), 9) score, c / size >= 0.25 wide from c)
+ sc as (select *, round(c / size * least(c / size / ((df - c + 0.5) / greatest((select n from n) - size, 1)), 50.0), 9) score, c / size >= 0.25 wide from c)
  select g journal_key, string_agg(display_name, ' · ' order by r) as name from (select *, row_number() over (partition by g order by wide desc, score desc, round(idf, 9) desc, element_id) r from sc) join el using (element_id) where r <= 2 group by 1""",
-    "g13_neighbours": W + _MAT + """, fo as (select min(paper_id) focus from f), m as (select f.element_id, idf, focus from f join w using (element_id) cross join fo where paper_id = focus)
- select * from (select *, row_number() over (partition by focus order by score desc, paper_id) rank from (select focus, paper_id, round(sum(idf), 9) score, count(*) shared from f join m using (element_id) where paper_id <> focus group by 1, 2)) where rank <= 10""",
     "g14_sessions": """with l as (select loaded_at t, case when loaded_at < lag(loaded_at) over (order by loaded_at) + interval 30 minutes then 0 else 1 end b from papers where loaded_at is not null),
  s as (select t, sum(b) over (order by t rows unbounded preceding) g from l) select min(t) start, max(t) as "end", count(*) papers from s group by g""",
     "g16_years": W + "select y, count(*) papers from yr group by 1",

@@ -47,15 +47,6 @@ def el1_prompt_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return b.withColumn("t", t).where("t <> ''").select("id", F.substring("t", 1, 700).alias("prompt"))
 
 
-def g15_route(spark: SparkSession, sf: str) -> DataFrame:
-    """Journals by number of papers, the three titles to start with first: reviews, then the widest lists of findings, then id."""
-    p = load(spark, sf).papers.where("trim(journal) <> ''").withColumn("j", F.lower(F.trim("journal")))
-    review = F.coalesce(F.lower("title").rlike("review|overview"), F.lit(False))
-    size = F.when(F.col("main_findings").isNull(), 0).otherwise(F.size("main_findings"))
-    rank = F.row_number().over(Window.partitionBy("j").orderBy(F.desc("review"), F.desc("size"), "paper_id"))
-    return p.withColumn("review", review).withColumn("size", size).withColumn("rank", rank).where("rank <= 3").select(F.col("j").alias("journal_key"), "paper_id", "rank", "review")
-
-
 def g18_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint of each paper's used elements: equal fingerprints need no new placing."""
     r = I.by_role(load(spark, sf).rows, "used").groupBy("paper_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("element_id")), "|"), 256).alias("fingerprint"))
@@ -159,8 +150,6 @@ SQL = {
     "in20_next_id": "select coalesce(max(try_cast(nullif(regexp_extract(paper_id, '^S([0-9]+)$', 1), '') as bigint)), 0) + 1 as next from papers",
     "in22_state": "select citation_id, arg_max(source, harvested_at) last_source, count(*) attempts, min(harvested_at) as first, max(harvested_at) as last from citations group by 1",
     "el1_prompt_blocks": B + ", t as (select id, coalesce(nullif(trim(text), ''), trim(caption)) t from b where coalesce(include_in_reading, false)) select id, substring(t, 1, 700) prompt from t where t <> ''",
-    "g15_route": W + """, x as (select lower(trim(journal)) journal_key, paper_id, coalesce(regexp_matches(lower(title), 'review|overview'), false) review, coalesce(len(main_findings), 0) size from pap where trim(journal) <> '')
- select journal_key, paper_id, rank, review from (select *, row_number() over (partition by journal_key order by review desc, size desc, paper_id) rank from x) where rank <= 3""",
     "g18_fingerprints": W + "select paper_id, sha256(string_agg(element_id, '|' order by element_id)) fingerprint from used group by 1",
     "c9_concept_network": W + _C3 + """, top as (select facet, concept from t group by 1, 2 order by count(*) desc, facet, concept limit 1), m as (select paper_id from t where (facet, concept) in (select (facet, concept) from top))
  select * from c3 where a in (select paper_id from m) and b in (select paper_id from m)""",

@@ -81,15 +81,6 @@ def io14_export(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(b, "paper_id", "left").select("paper_id", "has_card", n("blocks"), n("figures"), n("tables"), n("paragraphs"), F.col("blocks").isNotNull().alias("has_blocks"))
 
 
-def a1_senior_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Papers grouped by the identity key of their last author; papers without a DOI or a listed author are left out."""
-    a = table(spark, sf, "authors").where("trim(doi) <> ''").withColumn("key", F.lower(F.trim("doi")))
-    lists = latest(a, ["key"], "fetched_at", ["authors"]).where("size(authors) > 0")
-    p = latest(table(spark, sf, "papers"), ["paper_id"], "loaded_at", ["doi"]).withColumn("key", F.lower(F.trim("doi")))
-    g = p.join(lists, "key").withColumn("group_key", E.author_key(F.element_at("authors", -1))).where("group_key <> ''")
-    return g.groupBy("group_key").agg(F.count("*").alias("papers"), F.min("paper_id").alias("first_paper"))
-
-
 def _like(c: str, words: list[str]) -> str:
     return "(" + " or ".join(f"contains(lower({c}), '{w}')" for w in words) + ")"
 
@@ -131,9 +122,5 @@ SQL = {
     "io14_export": B + """, p as (select paper_id, has_card from (select *, row_number() over (partition by paper_id order by loaded_at desc) rn from papers) where rn = 1),
  n as (select paper_id, count(*) blocks, sum((reading_type = 'figure')::int) figures, sum((reading_type = 'table')::int) tables, sum((reading_type = 'paragraph')::int) paragraphs from b group by 1)
  select paper_id, has_card, coalesce(blocks, 0) blocks, coalesce(figures, 0) figures, coalesce(tables, 0) tables, coalesce(paragraphs, 0) paragraphs, blocks is not null has_blocks from p left join n using (paper_id)""",
-    "a1_senior_groups": f"""with l as (select lower(trim(doi)) as key, arg_max(struct_pack(x := authors), fetched_at).x a from authors where trim(doi) <> '' group by 1),
- p as (select paper_id, lower(trim(doi)) as key from (select *, row_number() over (partition by paper_id order by loaded_at desc) rn from papers) where rn = 1),
- k as (select paper_id, {_KEY} from p join l using (key) where len(a) > 0)
- select case when g = '' then f else f || '_' || g end group_key, count(*) papers, min(paper_id) first_paper from k where f <> '' group by 1""",
 }
 QUERIES = {k: globals()[k] for k in [*SQL, "el4_values"]}
