@@ -53,22 +53,6 @@ def g18_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return r
 
 
-def c9_concept_network(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidate edges inside the papers of the most frequent concept."""
-    t = cut(_tags(spark, sf))
-    top = t.groupBy("facet", "concept").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "facet", "concept").limit(1)
-    members = t.join(F.broadcast(top), ["facet", "concept"]).select("paper_id")
-    e = c3_candidate_edges(spark, sf)
-    return e.join(members.withColumnRenamed("paper_id", "a"), "a", "left_semi").join(members.withColumnRenamed("paper_id", "b"), "b", "left_semi").select("a", "b", "score", "shared")
-
-
-def c10_paper_network(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidate edges of the paper with the most of them."""
-    e = cut(c3_candidate_edges(spark, sf))
-    top = e.select(F.explode(F.array("a", "b")).alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(1)
-    return e.join(F.broadcast(top), (F.col("a") == F.col("p")) | (F.col("b") == F.col("p"))).select("a", "b", "score", "shared")  # one row
-
-
 def c17_freshness(spark: SparkSession, sf: str) -> DataFrame:
     """Papers whose occurrences are missing or older than their blocks."""
     s = N.stale(table(spark, sf, "reading_blocks").select("paper_id", "loaded_at"), table(spark, sf, "occurrences").select("paper_id", "loaded_at"), "paper_id", "loaded_at")
@@ -84,42 +68,6 @@ def a2_population(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(a, "key", "left").groupBy(status.alias("status")).agg(F.count("*").alias("papers"))
 
 
-def pf1_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Portfolio inputs of each paper: used findings and analyses, main findings, materials."""
-    ix = load(spark, sf)
-    used = I.by_role(ix.rows, "used").groupBy("paper_id").agg(F.sum(F.col("occ_facet").isin("finding", "analysis").cast("int")).alias("atoms"), F.count_distinct(F.when(F.col("occ_facet") == "material", F.col("element_id"))).alias("materials"))
-    size = F.when(F.col("main_findings").isNull(), 0).otherwise(F.size("main_findings"))
-    return ix.papers.join(used, "paper_id", "left").select("paper_id", F.coalesce("atoms", F.lit(0)).alias("atoms"), size.alias("syntheses"), F.coalesce("materials", F.lit(0)).alias("materials"))
-
-
-def pf3_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """The five papers per journal with the highest score (atoms plus twice the syntheses), all orders descending."""
-    ix = load(spark, sf)
-    p = pf1_inputs(spark, sf).join(journals(ix), "paper_id").withColumn("score", F.col("atoms") + 2 * F.col("syntheses"))
-    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), F.desc("atoms"), F.desc("paper_id")))
-    return p.withColumn("rank", rank).where("rank <= 5").select(F.col("group").alias("journal_key"), "paper_id", "score", "rank")
-
-
-def pf6_claims(spark: SparkSession, sf: str) -> DataFrame:
-    """At most 24 distinct claims per journal, in order of paper and text."""
-    ix = load(spark, sf)
-    c = ix.papers.select("paper_id", F.explode("main_findings").alias("claim")).where("trim(claim) <> ''").distinct().join(journals(ix), "paper_id")
-    rank = F.row_number().over(Window.partitionBy("group").orderBy("paper_id", "claim"))
-    return c.withColumn("rank", rank).where("rank <= 24").select(F.col("group").alias("journal_key"), "paper_id", "claim", "rank")
-
-
-def pf9_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Jaccard overlap of the element sets of the ten journals with most papers, with its risk."""
-    ix = load(spark, sf)
-    g = journals(ix)
-    top = F.broadcast(g.groupBy("group").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group").limit(10).select("group"))
-    s = I.by_role(ix.rows, "used").select("paper_id", "element_id").distinct().join(g.join(top, "group", "left_semi"), "paper_id").select("group", "element_id").distinct()
-    n = s.groupBy("group").agg(F.count("*").alias("n"))
-    both = s.select(F.col("group").alias("a"), "element_id").join(s.select(F.col("group").alias("b"), "element_id"), "element_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    j = both.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").withColumn("jaccard", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6))
-    return j.select("a", "b", "shared", "jaccard", F.when(F.col("jaccard") >= 0.5, "high").when(F.col("jaccard") >= 0.25, "medium").otherwise("low").alias("risk"))
-
-
 def pf10_paper_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct paper ids that the document table names, with their documents."""
     d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "paper_id", "text"), F.lit(r"\b(S[0-9]+)\b"), F.lit(1)))).alias("paper"))
@@ -151,19 +99,10 @@ SQL = {
     "in22_state": "select citation_id, arg_max(source, harvested_at) last_source, count(*) attempts, min(harvested_at) as first, max(harvested_at) as last from citations group by 1",
     "el1_prompt_blocks": B + ", t as (select id, coalesce(nullif(trim(text), ''), trim(caption)) t from b where coalesce(include_in_reading, false)) select id, substring(t, 1, 700) prompt from t where t <> ''",
     "g18_fingerprints": W + "select paper_id, sha256(string_agg(element_id, '|' order by element_id)) fingerprint from used group by 1",
-    "c9_concept_network": W + _C3 + """, top as (select facet, concept from t group by 1, 2 order by count(*) desc, facet, concept limit 1), m as (select paper_id from t where (facet, concept) in (select (facet, concept) from top))
- select * from c3 where a in (select paper_id from m) and b in (select paper_id from m)""",
-    "c10_paper_network": W + _C3 + ", top as (select p from (select unnest([a, b]) p from c3) group by 1 order by count(*) desc, p limit 1) select * from c3 where a in (select p from top) or b in (select p from top)",
     "c17_freshness": """with u as (select paper_id, max(loaded_at) u from reading_blocks where paper_id is not null group by 1), d as (select paper_id, max(loaded_at) d from occurrences group by 1)
  select case when d is null then 'missing' when d < u then 'stale' else 'fresh' end state, count(*) papers from u left join d using (paper_id) group by 1""",
     "a2_population": W + """, l as (select lower(trim(doi)) as key, arg_max(struct_pack(x := authors), fetched_at).x a, true hit from authors where trim(doi) <> '' group by 1)
  select case when p.key is null then 'no_doi' when hit is null then 'not_found' when coalesce(len(a), 0) > 0 then 'found' else 'empty' end status, count(*) papers from (select nullif(lower(trim(doi)), '') as key from pap) p left join l on l.key = p.key group by 1""",
-    "pf1_inputs": _PF1 + "select * from pf",
-    "pf3_selection": _PF1 + ", x as (select g journal_key, paper_id, atoms + 2 * syntheses score, atoms from pf join jr using (paper_id)) select journal_key, paper_id, score, rank from (select *, row_number() over (partition by journal_key order by score desc, atoms desc, paper_id desc) rank from x) where rank <= 5",
-    "pf6_claims": W + ", c as (select distinct paper_id, unnest(main_findings) claim from pap) select * from (select g journal_key, paper_id, claim, row_number() over (partition by g order by paper_id, claim) rank from c join jr using (paper_id) where trim(claim) <> '') where rank <= 24",
-    "pf9_overlap": W + """, top as (select g from jr group by 1 order by count(*) desc, g limit 10), s as (select distinct g, element_id from used join jr using (paper_id) where g in (select g from top)), n as (select g, count(*) n from s group by 1),
- j as (select x.g a, y.g b, count(*) shared from s x join s y on x.element_id = y.element_id and x.g < y.g group by 1, 2), k as (select a, b, shared, round(shared / (p.n + q.n - shared), 6) jaccard from j join n p on p.g = a join n q on q.g = b)
- select *, case when jaccard >= 0.5 then 'high' when jaccard >= 0.25 then 'medium' else 'low' end risk from k""",
     "pf10_paper_ids": r"select paper, count(*) documents from (select doc_id, unnest(list_distinct(regexp_extract_all(concat_ws(' ', paper_id, text), '\bS[0-9]+\b'))) paper from documents) group by 1",
     "o3_recovery": W + """, x as (select paper_id, [case when coalesce(has_card, 0) = 0 then 'card' end, case when paper_id not in (select paper_id from reading_blocks where paper_id is not null) then 'blocks' end, case when paper_id not in (select paper_id from r) then 'elements' end] s from pap)
  select paper_id, stage from (select paper_id, unnest(s) stage from x) where stage is not null""",
