@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity: pattern packing by non-negative least squares.
 
-Sizes are binned upwards, the histogram of the bins is all the driver sees. Patterns of one to three bins that fill a container are
-enumerated, their repeat counts are fitted to the histogram by non-negative least squares and rounded down, and what is left is
-packed best fit first on the histogram too. Every text then finds its place by its rank within its bin, so assignment is
+Sizes are binned upwards, the histogram of the bins is all the driver sees. Patterns of few documents that fill a container are generated as columns, each
+the best fill for what the columns before leave; their repeat counts are fitted to the histogram by non-negative least squares and rounded, and what is left is
+packed by further full patterns and best fit first, on the histogram too. Every text then finds its place by its rank within its bin, so assignment is
 a lookup, whatever the number of texts.
 """
 
@@ -54,89 +54,134 @@ def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
     return rows.select("key", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("tokens") - start).cast("int").alias("size"))
 
 
-def nnls(columns: list[tuple[int, ...]], target: np.ndarray, rounds: int = 1500) -> np.ndarray:
-    """Counts x >= 0 that bring the sum of `columns` (bins of each pattern, with repeats) closest to `target` by weighted least squares.
-
-    Accelerated projected gradient; the columns have at most three entries, so a step costs little.
-    """
-    m, n = len(target), len(columns)
-    col = np.repeat(np.arange(n), [len(c) for c in columns])
-    row = np.concatenate([np.array(c) for c in columns])
-    weight = 1.0 / np.sqrt(1.0 + target)  # residuals weigh as shares of their bin
-    v = np.ones(n)
+def nnls(columns: np.ndarray, target: np.ndarray, start: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Counts x >= 0 that bring the sum of `columns` (patterns x bins) closest to `target` by weighted least squares, by accelerated projected gradient from `start`. Residuals weigh as shares of their bin."""
+    a = columns / np.sqrt(1.0 + target)
+    goal = target / np.sqrt(1.0 + target)
+    v, norm = np.ones(len(a)), 1.0
     for _ in range(30):  # greatest eigenvalue, for the step
-        w = np.bincount(col, (weight**2 * np.bincount(row, v[col], m))[row], n)
-        norm = np.linalg.norm(w) or 1.0
-        v = w / norm
-    x = np.zeros(n)
-    y, t = x, 1.0
-    goal = weight**2 * target
+        v = a @ (v @ a)
+        norm = np.linalg.norm(v) or 1.0
+        v /= norm
+    x, y, t = start, start, 1.0
     for _ in range(rounds):
-        g = np.bincount(col, (weight**2 * np.bincount(row, y[col], m) - goal)[row], n)
-        nxt = np.maximum(0.0, y - g / norm)
+        nxt = np.maximum(0.0, y - (a @ (y @ a - goal)) / norm)
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = nxt + (t - 1) / s * (nxt - x), nxt, s
     return x
 
 
-def patterns(bins: int, present: np.ndarray) -> list[tuple[int, ...]]:
-    """All patterns of one to three bin sizes (1..bins) that fill `bins` exactly, or alone, of sizes that occur."""
-    has = set(np.flatnonzero(present[1:]) + 1)
-    out = [(a,) for a in sorted(has)]
-    out += [(a, bins - a) for a in sorted(has) if a <= bins - a and bins - a in has]
-    out += [(a, b, c) for a in sorted(has) for b in sorted(has) if a <= b and (c := bins - a - b) >= b and c in has]
-    return out
-
-
-def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats): patterns of bins that use up the histogram exactly; index = bin size, the last is the capacity.
-
-    Fitted patterns come first, rounded down and never beyond what is left; the residual is packed greatest size first, each into the
-    open pattern with the least room that takes it, with as many repeats at a time as both sides allow.
+def knapsack(value: np.ndarray, most: np.ndarray, bins: int) -> np.ndarray | None:
+    """Uses of each size (index) of the pattern of greatest value that fills `bins`, or as nearly as at all possible, with at most `most` of each size; None if nothing fits."""
+    items = []
+    for s in np.flatnonzero(most):
+        rest, k = min(int(most[s]), bins // max(1, int(s))), 1
+        while s and rest > 0:  # powers of two, and what is left of them
+            items.append((int(s), min(k, rest)))
+            rest, k = rest - k, 2 * k
+    best = np.full(bins + 1, -np.inf)
+    best[0] = 0.0
+    taken = np.zeros((len(items), bins + 1), bool)
+    for k, (s, m) in enumerate(items):
+        w = s * m
+        with_it = best[: bins + 1 - w] + value[s] * m
+        better = with_it > best[w:]
+        taken[k, w:] = better
+        best[w:] = np.where(better, with_it, best[w:])
+    full = int(np.flatnonzero(best > -np.inf)[-1])
+    if full == 0:
+        return None
+    uses, room = np.zeros(bins + 1, np.int64), full
+    for k in range(len(items) - 1, -1, -1):
+        if taken[k, room]:
+            uses[items[k][0]] += items[k][1]
+            room -= items[k][0] * items[k][1]
+    return uses
+
+
+#: Patterns that are generated for the fit, and further ones for what rounding leaves.
+COLUMNS, MORE = 256, 1024
+
+
+def generate(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns x bins, first counts): columns for the fit, each the full pattern that takes most of the sizes whose residual is relatively largest.
+
+    A pattern holds a size at most twice as often as an average container does. Each is counted so often that no size is used up beyond its histogram, and no more than twice a fair share of the containers.
+    """
+    bins = len(histogram) - 1
+    size = np.arange(bins + 1)
+    containers = max(1.0, float((histogram * size).sum()) / bins)
+    rest = histogram.astype(float)
+    found, counts = [], []
+    for _ in range(COLUMNS):
+        most = np.minimum(np.ceil(2 * histogram / containers), np.floor(rest)).astype(np.int64)
+        uses = knapsack(size * rest / np.maximum(histogram, 1), most, bins)
+        if uses is None or (uses * size).sum() < bins:
+            break
+        at = uses > 0
+        n = min(float((rest[at] / uses[at]).min()), max(1.0, 2 * containers / COLUMNS))
+        found.append(uses)
+        counts.append(n)
+        rest = np.maximum(0.0, rest - n * uses)
+    return np.array(found).reshape(len(found), bins + 1), np.array(counts)
+
+
+def plan(histogram: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """((pattern, repeats) that use up the histogram exactly, how many of them are fitted ones, which come first); index = bin size, the last is the capacity.
+
+    Fitted counts are rounded and never go beyond what is left. The residual is packed by further full patterns while there are any, then greatest size first, each into the open pattern with the least room
+    that takes it, with as many repeats at a time as both sides allow.
     """
     bins = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     found: list[tuple[tuple[int, ...], int]] = []
     if left.sum() == 0:
-        return found
-    columns = patterns(bins, left > 0)
-    fitted = nnls([tuple(x - 1 for x in c) for c in columns], left[1:].astype(float))
-    for k in np.argsort(-fitted, kind="stable"):
-        c = columns[k]
-        if sum(c) < bins:
-            continue  # part-filled containers are left to the residual
-        uses = np.bincount(c, minlength=bins + 1)
-        most = int(min(left[s] // uses[s] for s in set(c)))
-        n = min(most, int(fitted[k]))
+        return found, 0
+
+    def place(uses: np.ndarray, n: int) -> None:
+        at = uses > 0
+        n = min(n, int((left[at] // uses[at]).min()))
         if n > 0:
-            found.append((c, n))
-            left -= n * uses
+            found.append((tuple(np.repeat(np.arange(bins + 1), uses).tolist()), n))
+            left[:] -= n * uses
+
+    columns, first = generate(histogram)
+    if len(columns):
+        fitted = nnls(columns.astype(float), histogram.astype(float), first)
+        for k in np.argsort(-fitted, kind="stable"):
+            place(columns[k], int(round(fitted[k])))
+    split, size = len(found), np.arange(bins + 1)
+    for _ in range(MORE):
+        uses = knapsack(size * (left / np.maximum(histogram, 1) + size / bins), left, bins)
+        if uses is None or (uses * size).sum() < bins:
+            break
+        place(uses, int(left.max()))
     opened: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # room -> patterns with that room
-    for size in range(bins, 0, -1):
-        n = int(left[size])
-        for room in sorted(r for r in opened if r >= size):
+    for s in range(bins, 0, -1):
+        n = int(left[s])
+        for room in sorted(r for r in opened if r >= s):
             while n and opened.get(room):
                 p, m = opened[room].pop()
-                fit = min(room // size, n) if room else 0
+                fit = min(room // s, n) if room else 0
                 if fit == 0:
                     opened[room].append((p, m))
                     break
                 take = min(m, n // fit)
                 if take < m:
                     opened[room].append((p, m - take))
-                opened.setdefault(room - size * fit, []).append(((*p, *[size] * fit), take))
+                opened.setdefault(room - s * fit, []).append(((*p, *[s] * fit), take))
                 n -= take * fit
             if not opened.get(room):
                 opened.pop(room, None)
             if not n:
                 break
-        fit = bins // size
+        fit = bins // s
         if n // fit:
-            opened.setdefault(bins - size * fit, []).append(((size,) * fit, n // fit))
+            opened.setdefault(bins - s * fit, []).append(((s,) * fit, n // fit))
         if n % fit:
-            opened.setdefault(bins - size * (n % fit), []).append(((size,) * (n % fit), 1))
+            opened.setdefault(bins - s * (n % fit), []).append(((s,) * (n % fit), 1))
     found += [x for ps in opened.values() for x in ps]
-    return found
+    return found, split
 
 
 def slots(found: list[tuple[tuple[int, ...], int]], bins: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -154,7 +199,7 @@ def slots(found: list[tuple[tuple[int, ...], int]], bins: int) -> dict[int, tupl
 
 
 def pack(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
-    """(key, piece, start, size, container): every piece of every text in one container of `capacity` tokens.
+    """(key, piece, start, size, container, fitted): every piece of every text in one container of `capacity` tokens, and whether that is one of a fitted pattern.
 
     `sizes`: key, tokens, one row per text. Texts of 0 tokens are left out; a text is split only if it alone exceeds the capacity; nothing is cut or dropped.
     Ranks within a bin come from counts per slice of rows, so a bin that holds a third of all texts is no single task. The
@@ -168,7 +213,8 @@ def pack(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
     histogram = np.zeros(bins + 1, np.int64)
     for b, n in counts.groupBy("bin").agg(F.sum("n")).collect():
         histogram[b] = n
-    found = plan(histogram)
+    found, split = plan(histogram)
+    fitted = sum(n for _, n in found[:split])  # containers are numbered in the order of the plan
     places = sizes.sparkSession.sparkContext.broadcast(slots(found, bins))
     before = Window.partitionBy("bin").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offset = counts.select("bin", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # `slices` rows per bin
@@ -186,10 +232,11 @@ def pack(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
             out[at] = start[run] + (r[at] - first[run]) // k[run]
         return pd.Series(out)
 
-    return ranked.select("key", "piece", "start", "size", container("bin", "rank").alias("container"))
+    return ranked.select("key", "piece", "start", "size", container("bin", "rank").alias("container")).withColumn("fitted", F.col("container") < fitted)
 
 
 def fill(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: texts, pieces, containers, tokens, and the share of the containers' room that is used."""
-    per = packed.groupBy("container").agg(F.sum("size").alias("used"), F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("pieces"), F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count("*") * F.lit(capacity))).alias("used_share"))
+    """One row: pieces, containers, tokens, the fullest container, the share of the containers' room that is used, and the share of the pieces that stand in fitted patterns."""
+    per = packed.groupBy("container").agg(F.sum("size").alias("used"), F.count("*").alias("n"), F.max("fitted").alias("fitted"))
+    share = F.sum(F.when(F.col("fitted"), F.col("n")).otherwise(0)) / F.sum("n")
+    return per.agg(F.sum("n").alias("pieces"), F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count("*") * F.lit(capacity))).alias("used_share"), share.alias("fitted_share"))

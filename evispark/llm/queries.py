@@ -135,16 +135,19 @@ CAPACITY = 2048
 TOKENIZERS = "/opt/tokenizers"
 
 
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "doc_id")
+    return packing.pack(packing.token_counts(docs, "doc_id", "text", TOKENIZERS), CAPACITY)
+
+
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     """The container of each piece of each text, in containers of CAPACITY tokens."""
-    docs = table(spark, sf, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "doc_id")
-    packed = packing.pack(packing.token_counts(docs, "doc_id", "text", TOKENIZERS), CAPACITY)
-    return packed.select(F.col("key").alias("doc_id"), "piece", "start", "size", "container")
+    return _packed(spark, sf).select(F.col("key").alias("doc_id"), "piece", "start", "size", "container")
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """How full the containers are."""
-    return packing.fill(p8_pack(spark, sf), CAPACITY)
+    """How full the containers are, and how many pieces stand in fitted patterns."""
+    return packing.fill(_packed(spark, sf), CAPACITY)
 
 
 def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:

@@ -312,7 +312,7 @@ def test_scans(spark, sf):
 def test_plan_uses_the_histogram_up(counts):
     h = np.array([0, *counts], np.int64)
     used = np.zeros_like(h)
-    for p, n in packing.plan(h):
+    for p, n in packing.plan(h)[0]:
         assert n > 0 and sum(p) <= len(h) - 1
         for s in p:
             used[s] += n
@@ -334,6 +334,33 @@ def test_pack(spark):
     assert packing.pack(spark.createDataFrame([], "key bigint, tokens int"), 100).count() == 0
 
 
+def test_knapsack_is_best():
+    rng, bins = random.Random(8), 9
+    for _ in range(40):
+        value, most = np.array([0.0] + [rng.random() for _ in range(bins)]), np.array([0] + [rng.randrange(3) for _ in range(bins)])
+        best = {0: 0.0}
+        for s in range(1, bins + 1):
+            for _ in range(int(most[s])):
+                best |= {w + s: max(v + value[s], best.get(w + s, -1.0)) for w, v in sorted(best.items(), reverse=True) if w + s <= bins}
+        uses = packing.knapsack(value, most, bins)
+        if max(best) == 0:
+            assert uses is None
+        else:
+            assert (uses <= most).all() and (uses * np.arange(bins + 1)).sum() == max(best) and abs((uses * value).sum() - best[max(best)]) < 1e-9
+
+
+def test_most_pieces_stand_in_fitted_patterns():
+    rng = random.Random(5)
+    for n in (10_000, 30_000):
+        h = np.zeros(513, np.int64)
+        for _ in range(n):
+            h[min(512, max(1, int(rng.lognormvariate(3.3, 0.9))))] += 1
+        found, split = packing.plan(h)
+        pieces = lambda part: sum(len(p) * k for p, k in part)
+        assert pieces(found) == n and pieces(found[:split]) > 0.5 * n
+        assert sum(k for _, k in found) <= 1.01 * (h * np.arange(513)).sum() / 512 + 2
+
+
 def test_token_counts(spark):
     pytest.importorskip("tiktoken")
     df = spark.createDataFrame([(1, "Hello world", 1), (2, "", 1), (3, None, 1), (None, "x", 1), (4, "<|endoftext|>", 1)], "id bigint, text string, tokens int")
