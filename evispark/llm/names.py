@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm.distance import osa
-from evispark.session import cut
+from evispark.session import cut, shuffled
 
 # Entries that stand where a name is missing.
 PLACEHOLDERS = frozenset(["", "et al", "et al.", "anonymous", "anon", "anon.", "no author", "[no author]", "unknown", "author unknown", "n/a", "na", "none", "null", "not available", "no authors listed", "various", "various authors", "others", "and others", "tba", "tbd", "staff", "-", "--", "?", "editor", "the editors"])
@@ -143,7 +143,7 @@ def bound(n: int) -> int:
     return 0 if n < 4 else 2
 
 
-def trie_join(words: DataFrame, part: int = 20_000) -> DataFrame:
+def trie_join(words: DataFrame, part: int = 1_000) -> DataFrame:
     """(a, b, d): all pairs of distinct words, a <> b, within the bound of the shorter by insert, delete, replace and swap.
 
     `words`: column w, distinct, lower case. A pair within two edits keeps its first two letters, its last two, or, if one edit touches
@@ -158,8 +158,8 @@ def trie_join(words: DataFrame, part: int = 20_000) -> DataFrame:
     asked = base.select("w", F.explode(F.array_distinct(F.array(bigram("F", 1), F.concat(F.lit("L"), F.expr("right(w, 2)")), *[mid(o) for o in range(-2, 3)]))).alias("shard"))
     parts = stored.groupBy("shard").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
     spread = F.pmod(F.xxhash64("w"), F.col("parts").cast("long")).cast("int")
-    stored = stored.join(parts, "shard").select("shard", spread.alias("p"), "parts", "w").select("shard", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), F.lit(0).alias("asks"), "w")
-    asked = asked.join(parts, "shard").select("shard", spread.alias("s"), "parts", "w").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "s", F.lit(1).alias("asks"), "w")
+    stored = stored.join(shuffled(parts), "shard").select("shard", spread.alias("p"), "parts", "w").select("shard", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"), F.lit(0).alias("asks"), "w")
+    asked = asked.join(shuffled(parts), "shard").select("shard", spread.alias("s"), "parts", "w").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "s", F.lit(1).alias("asks"), "w")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         root = trie(pdf["w"][pdf["asks"] == 0].tolist())
@@ -172,7 +172,8 @@ def trie_join(words: DataFrame, part: int = 20_000) -> DataFrame:
                         out.append((w, v, d))
         return pd.DataFrame(out, columns=["a", "b", "d"])
 
-    rows = stored.unionByName(asked)
+    tasks = 4 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored.unionByName(asked).repartition(tasks, "shard", "p", "s")  # few bytes, much work: not to be put together
     once = rows.groupBy("shard", "p", "s").applyInPandas(walk, "a string, b string, d int").distinct()
     return once.unionAll(once.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
@@ -187,18 +188,18 @@ def corrections(tokens: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFr
     """
     a, b = tokens.select(F.col("w").alias("a"), F.col("c").alias("ca"), F.col("f").alias("fa")), tokens.select(F.col("w").alias("b"), F.col("c").alias("cb"), "g", "f")
     target = ((F.col("g") >= 3) & (F.col("g") >= 3 * F.col("f"))) | F.col("b").isin([*COLLECTIVE, *SHORT, *NICKNAMES, *NICKNAMES.values()])
-    j = cut(pairs.join(a, "a").join(b.where(target), "b").where(F.col("cb") >= F.when(F.col("d") == 1, 2).otherwise(3) * F.col("ca")))
+    j = cut(pairs.join(shuffled(a), "a").join(shuffled(b.where(target)), "b").where(F.col("cb") >= F.when(F.col("d") == 1, 2).otherwise(3) * F.col("ca")))
     other = words.where(~F.col("w").isin([*COLLECTIVE, *SHORT, *DROPPED])).select("name", F.col("w").alias("other"))
-    beside = words.select("name", "w").distinct().join(other.distinct(), "name").where("w <> other")
-    mine = beside.join(j.select(F.col("a").alias("w")).distinct(), "w").select(F.col("w").alias("a"), "name", "other")
-    yours = beside.join(j.select(F.col("b").alias("w")).distinct(), "w").select(F.col("w").alias("b"), "other").distinct()
-    held = j.select("a", "b").join(mine, "a").join(yours, ["b", "other"]).groupBy("a", "b").agg(F.countDistinct("name").alias("both"))
-    j = j.join(mine.groupBy("a").agg(F.countDistinct("name").alias("n")), "a", "left").join(held, ["a", "b"], "left").withColumn("share", F.coalesce(F.col("both") / F.col("n"), F.lit(0.0)))
+    beside = words.select("name", "w").distinct().join(shuffled(other.distinct()), "name").where("w <> other")
+    mine = beside.join(shuffled(j.select(F.col("a").alias("w")).distinct()), "w").select(F.col("w").alias("a"), "name", "other")
+    yours = beside.join(shuffled(j.select(F.col("b").alias("w")).distinct()), "w").select(F.col("w").alias("b"), "other").distinct()
+    held = j.select("a", "b").join(shuffled(mine), "a").join(shuffled(yours), ["b", "other"]).groupBy("a", "b").agg(F.countDistinct("name").alias("both"))
+    j = j.join(shuffled(mine.groupBy("a").agg(F.countDistinct("name").alias("n"))), "a", "left").join(shuffled(held), ["a", "b"], "left").withColumn("share", F.coalesce(F.col("both") / F.col("n"), F.lit(0.0)))
     far = (F.col("cb") >= 8 * F.col("ca")) & ((2 * F.col("fa") <= F.col("ca")) | F.col("b").isin([*COLLECTIVE, *SHORT]))
     near = F.when(F.col("d") == 1, far | (F.col("ca") <= THIN) | (F.col("share") >= 0.25)).otherwise((F.col("share") >= 0.25) & (F.length("a") >= 6))
     j = cut(j.where(near))
     wrong = j.where("d = 1 and cb >= 8 * ca").select(F.col("a").alias("b")).distinct()  # misspelt themselves, so no targets
-    best = j.join(wrong, "b", "left_anti").groupBy("a").agg(F.min(F.struct("d", (-F.col("share")).alias("s"), (-F.col("cb")).alias("c"), "b")).alias("m"))
+    best = j.join(shuffled(wrong), "b", "left_anti").groupBy("a").agg(F.min(F.struct("d", (-F.col("share")).alias("s"), (-F.col("cb")).alias("c"), "b")).alias("m"))
     return best.select(F.col("a").alias("w"), F.col("m.b").alias("to"))
 
 
@@ -227,11 +228,11 @@ def entities(names: DataFrame) -> DataFrame:
     tokens = cut(words.groupBy("w").agg(F.countDistinct("name").alias("c"), role("g").alias("g"), role("f").alias("f")))
     pairs = cut(trie_join(tokens.select("w")))
     fixed = cut(corrections(tokens, pairs, words))
-    right = words.join(fixed, "w", "left").select("name", "pos", "role", F.coalesce("to", "w").alias("w"))
+    right = words.join(shuffled(fixed), "w", "left").select("name", "pos", "role", F.coalesce("to", "w").alias("w"))
     places = right.groupBy("w").agg(role("g").alias("g"), role("f").alias("f"))
-    known = right.join(places.select("w", ((F.col("g") + 0.5) / (F.col("g") + F.col("f") + 1)).alias("as_given")), "w")
+    known = right.join(shuffled(places.select("w", ((F.col("g") + 0.5) / (F.col("g") + F.col("f") + 1)).alias("as_given"))), "w")
     spelt = known.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", "w", "role", "as_given"))).alias("ws"))  # the words of one name
-    spelt = spelt.join(base.select("name", "initials"), "name")
+    spelt = spelt.join(shuffled(base.select("name", "initials")), "name")
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -242,17 +243,17 @@ def entities(names: DataFrame) -> DataFrame:
     made = made.withColumn("first", F.when(F.col("given") != "", F.substring("given", 1, 1)).otherwise(F.substring("initials", 1, 1)))
     moved = cut(_rare_families(made, pairs))
     parts = made.where("family not like 'org %'").select("name", "first", F.posexplode(F.split("family", " ")).alias("pos", "w"))
-    respelt = parts.join(moved, ["w", "first"], "left").groupBy("name").agg(F.array_sort(F.collect_list(F.coalesce("to", "w"))).alias("fs"))  # the words of one name
-    made = cut(made.join(respelt, "name", "left").withColumn("family", F.coalesce(F.array_join("fs", " "), "family")).drop("fs"))
+    respelt = parts.join(shuffled(moved), ["w", "first"], "left").groupBy("name").agg(F.array_sort(F.collect_list(F.coalesce("to", "w"))).alias("fs"))  # the words of one name
+    made = cut(made.join(shuffled(respelt), "name", "left").withColumn("family", F.coalesce(F.array_join("fs", " "), "family")).drop("fs"))
     halves = _half_families(made)
-    made = cut(made.join(halves, ["family", "first", "given"], "left").withColumn("family", F.coalesce("to", "family")).drop("to"))
+    made = cut(made.join(shuffled(halves), ["family", "first", "given"], "left").withColumn("family", F.coalesce("to", "family")).drop("to"))
     orgs = _rare_collectives(made, pairs)
-    made = cut(made.join(orgs, "family", "left").withColumn("family", F.coalesce("to", "family")).drop("to"))
+    made = cut(made.join(shuffled(orgs), "family", "left").withColumn("family", F.coalesce("to", "family")).drop("to"))
     full = made.where("given <> ''").groupBy("family", "first").agg(F.countDistinct("given").alias("k"), F.min("given").alias("only"))
     middle = F.when(F.col("given") == "", F.substring("initials", 2, 1)).otherwise(F.substring("initials", 1, 1))
     made = made.withColumn("middle", middle)
     by_middle = made.where("given <> '' and middle <> ''").groupBy("family", "first", "middle").agg(F.countDistinct("given").alias("km"), F.min("given").alias("only_m"))
-    j = made.join(full, ["family", "first"], "left").join(by_middle, ["family", "first", "middle"], "left")
+    j = made.join(shuffled(full), ["family", "first"], "left").join(shuffled(by_middle), ["family", "first", "middle"], "left")
     who = (
         F.when(F.col("given") != "", F.col("given"))
         .when(F.col("first") == "", "")
@@ -275,13 +276,13 @@ def _rare_families(made: DataFrame, pairs: DataFrame) -> DataFrame:
     people = made.where("first <> '' and family not like 'org %'").select(F.explode(F.split("family", " ")).alias("w"), "first", "given", "name")
     count = people.groupBy("w").agg(F.count("*").alias("c"))
     has = people.groupBy("w", "first").agg(F.array_remove(F.collect_set("given"), "").alias("gs"), F.count("*").alias("n"))  # given names under one initial
-    has = has.join(count, "w")
+    has = has.join(shuffled(count), "w")
     a = has.select(F.col("w").alias("a"), "first", F.col("gs").alias("ga"), F.col("c").alias("ca"), F.col("n").alias("na"))
     b = has.select(F.col("w").alias("b"), "first", F.col("gs").alias("gb"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    j = cut(pairs.join(a, "a").join(b, ["b", "first"]))
+    j = cut(pairs.join(shuffled(a), "a").join(shuffled(b), ["b", "first"]))
     bearers = has.groupBy(F.col("w").alias("a")).agg(F.sum(F.size("gs")).alias("bearers"))
     shared = j.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("ga", "gb"))).alias("shared"))
-    j = j.join(bearers, "a").join(shared, ["a", "b"])
+    j = j.join(shuffled(bearers), "a").join(shuffled(shared), ["a", "b"])
     same = F.arrays_overlap("ga", "gb")
     initial = ((F.size("ga") == 0) | (F.size("gb") == 0)) & (F.col("cb") >= 3)
     better = (F.col("cb") > F.col("ca")) | ((F.col("cb") == F.col("ca")) & (F.col("b") < F.col("a")))
@@ -292,7 +293,7 @@ def _rare_families(made: DataFrame, pairs: DataFrame) -> DataFrame:
     best = j.where(better & near).groupBy("a", "first").agg(F.max(F.struct((-F.col("d")).alias("d"), "cb", "b")).alias("m"))
     one = best.select(F.col("a").alias("w"), "first", F.col("m.b").alias("to"))
     two = one.select(F.col("w").alias("to"), "first", F.col("to").alias("final"))  # a neighbour that moves on itself
-    return one.join(two, ["to", "first"], "left").select("w", "first", F.coalesce("final", "to").alias("to"))
+    return one.join(shuffled(two), ["to", "first"], "left").select("w", "first", F.coalesce("final", "to").alias("to"))
 
 
 def _half_families(made: DataFrame) -> DataFrame:
@@ -300,11 +301,11 @@ def _half_families(made: DataFrame) -> DataFrame:
     people = made.where("first <> '' and family not like 'org %'")
     double = people.where("family like '% %'").select("name", F.explode(F.split("family", " ")).alias("w"), F.col("family").alias("to"), "first", F.col("given").alias("g2"))
     single = people.where("family not like '% %'")
-    often = double.groupBy("w").agg(F.count("*").alias("cd")).join(single.groupBy(F.col("family").alias("w")).agg(F.count("*").alias("cs")), "w").where("cs <= cd").select("w")
-    names = single.select(F.col("family").alias("w"), "first", "given").distinct().join(often, "w")
+    often = double.groupBy("w").agg(F.count("*").alias("cd")).join(shuffled(single.groupBy(F.col("family").alias("w")).agg(F.count("*").alias("cs"))), "w").where("cs <= cd").select("w")
+    names = single.select(F.col("family").alias("w"), "first", "given").distinct().join(shuffled(often), "w")
     wholes = double.select("w", "to", "first", "g2").distinct()
     fits = (F.col("given") == F.col("g2")) | (F.col("given") == "") | (F.col("g2") == "")
-    found = names.join(wholes, ["w", "first"]).where(fits).groupBy("w", "first", "given").agg(F.countDistinct("to").alias("k"), F.min("to").alias("to"))
+    found = names.join(shuffled(wholes), ["w", "first"]).where(fits).groupBy("w", "first", "given").agg(F.countDistinct("to").alias("k"), F.min("to").alias("to"))
     return found.where("k = 1").select(F.col("w").alias("family"), "first", "given", "to")
 
 
@@ -315,10 +316,10 @@ def _rare_collectives(made: DataFrame, pairs: DataFrame) -> DataFrame:
     parts = parts.withColumn("rest", F.array_join(F.array_remove(F.split("family", " "), F.col("w")), " "))
     a = parts.select(F.col("family").alias("fa"), F.col("c").alias("ca"), F.col("w").alias("a"), "rest")
     b = parts.select(F.col("family").alias("fb"), F.col("c").alias("cb"), F.col("w").alias("b"), "rest")
-    j = pairs.join(a, "a").join(b, ["b", "rest"]).where(f"(cb > ca or cb = ca and fb < fa) and (ca <= {THIN} or cb >= 3 * ca)")
+    j = pairs.join(shuffled(a), "a").join(shuffled(b), ["b", "rest"]).where(f"(cb > ca or cb = ca and fb < fa) and (ca <= {THIN} or cb >= 3 * ca)")
     one = j.groupBy("fa").agg(F.max(F.struct("cb", "fb")).alias("m")).select(F.col("fa").alias("family"), F.col("m.fb").alias("to"))
     two = one.select(F.col("family").alias("to"), F.col("to").alias("final"))
-    return one.join(two, "to", "left").select("family", F.coalesce("final", "to").alias("to"))
+    return one.join(shuffled(two), "to", "left").select("family", F.coalesce("final", "to").alias("to"))
 
 
 def assemble(words: list[tuple[str, str, float]], initials: str) -> tuple[str, str, str]:
@@ -349,4 +350,4 @@ def assemble(words: list[tuple[str, str, float]], initials: str) -> tuple[str, s
 def variant_pairs(named: DataFrame) -> DataFrame:
     """(name_a, name_b): each pair of different names of one entity, a before b. One entity's spellings are few; the join is on its key."""
     a, b = named.select(F.col("name").alias("name_a"), "entity"), named.select(F.col("name").alias("name_b"), "entity")
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
+    return a.join(shuffled(b), "entity").where("name_a < name_b").select("name_a", "name_b")
