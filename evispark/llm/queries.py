@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evispark.llm import canonical, cooccurrence, leakage, matching, names, packing, scans, setjoin, subjects
 from evispark.llm.common import trimmed_lower
-from evispark.session import cut
+from evispark.session import cut, shuffled
 from evispark.tables import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,7 +117,7 @@ def p7_links(spark: SparkSession, sf: str) -> DataFrame:
     membership, links = setjoin.similar_classes(_papers(spark, sf), "paper_id")
     ends = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     first = membership.groupBy("cls").agg(F.min("paper_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = membership.join(first, "cls").join(ends, "cls", "left")
+    out = membership.join(shuffled(first), "cls").join(shuffled(ends), "cls", "left")
     return out.select("paper_id", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
 
 

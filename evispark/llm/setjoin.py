@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from evispark.keys import norm_key
 from evispark.llm.common import pairs_of
-from evispark.session import cut
+from evispark.session import cut, shuffled
 
 PRIME = np.uint64((1 << 61) - 1)
 
@@ -80,12 +80,12 @@ def similar_classes(sets: DataFrame, key: str, threshold: float = 0.6, recall: f
         at = crowded.withColumn("p", F.xxhash64("tree", F.slice("s", 1, depth + level)))
         sizes = at.groupBy("p").agg(F.count("*").alias("n"))
         mates = sizes.where(F.col("n") > 1)
-        at = at.join(mates, "p")
+        at = at.join(shuffled(mates), "p")
         small = at.where(F.col("n") <= crowd).groupBy("p").agg(F.sort_array(F.collect_set("cls")).alias("c"))  # at most `crowd` ids
         found.append(small.select(F.explode(F.expr(pairs_of("c"))).alias("q")).select("q.x", "q.y"))
         crowded = cut(at.where(F.col("n") > crowd).drop("p", "n"))
         if level == 0 and not crowded.isEmpty():  # what deepening parts may still be similar: exactly, among these sets only
-            found.append(_prefix_pairs(classes.join(crowded.select("cls").distinct(), "cls"), threshold))
+            found.append(_prefix_pairs(classes.join(shuffled(crowded.select("cls").distinct()), "cls"), threshold))
         if crowded.isEmpty():
             break
     pairs = found[0]
@@ -94,7 +94,7 @@ def similar_classes(sets: DataFrame, key: str, threshold: float = 0.6, recall: f
     pairs = pairs.groupBy("x", "y").agg(F.lit(1).alias("_"))
     a = classes.select(F.col("cls").alias("x"), F.col("tags").alias("ta"))
     b = classes.select(F.col("cls").alias("y"), F.col("tags").alias("tb"))
-    joined = pairs.join(a, "x").join(b, "y")
+    joined = pairs.join(shuffled(a), "x").join(shuffled(b), "y")
     shared = F.size(F.array_intersect("ta", "tb"))
     links = joined.withColumn("shared", shared).withColumn("total", F.size("ta") + F.size("tb") - F.col("shared"))
     links = links.where(F.col("shared") >= F.lit(threshold) * F.col("total"))
@@ -108,18 +108,18 @@ def _prefix_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """
     tokens = classes.select("cls", F.explode("tags").alias("t"), F.size("tags").alias("n"))
     freq = tokens.groupBy("t").agg(F.count("*").alias("f"))
-    ranked = tokens.join(freq, "t").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+    ranked = tokens.join(shuffled(freq), "t").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
     keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     listed = ranked.select("cls", "n", F.explode(F.slice("o", 1, keep)).alias("e")).select("cls", "n", F.col("e.t").alias("t"))
     a, b = listed.toDF("x", "nx", "t"), listed.toDF("y", "ny", "t")
     near = (F.col("x") < F.col("y")) & (F.col("nx") >= F.col("ny") * threshold - 1e-9) & (F.col("ny") >= F.col("nx") * threshold - 1e-9)
-    return a.join(b, "t").where(near).select("x", "y")
+    return a.join(shuffled(b), "t").where(near).select("x", "y")
 
 
 def expand(membership: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """Record pairs (a < b as strings) of the links and of equal sets."""
     m = membership.select(F.col(key).alias("k"), "cls")
-    across = links.join(m.toDF("ka", "cls_a"), "cls_a").join(m.toDF("kb", "cls_b"), "cls_b").select("ka", "kb")
-    within = m.toDF("ka", "cls").join(m.toDF("kb", "cls"), "cls").where("ka < kb").select("ka", "kb")
+    across = links.join(shuffled(m.toDF("ka", "cls_a")), "cls_a").join(shuffled(m.toDF("kb", "cls_b")), "cls_b").select("ka", "kb")
+    within = m.toDF("ka", "cls").join(shuffled(m.toDF("kb", "cls")), "cls").where("ka < kb").select("ka", "kb")
     both = across.unionAll(within)
     return both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).where("a < b").distinct()
