@@ -26,7 +26,10 @@ PART = 50_000
 # Words that carry no meaning of their own in a typed value.
 FILLERS = frozenset("a an the of by in on at for from with and or to this that our work house study method methods technique techniques approach approaches procedure procedures type types".split())
 LONG_FILLERS = tuple(f for f in FILLERS if len(f) >= 4)
-CANDIDATES = 12
+#: Trigram cosine from which an entry is scored; all that reach it are.
+FLOOR = 0.2
+#: How a value was read: nothing, an exact name, a short form with part of the name, words scored one by one.
+NONE, EXACT, SHORT, SCORED = range(4)
 
 
 def words(text: str) -> list[tuple[str, bool]]:
@@ -52,9 +55,9 @@ def grams(tokens: list[str]) -> set[str]:
 
 
 class Facet:
-    """The entries of one facet with their trigram index."""
+    """Entries of one facet with their trigram index. `whole`: (entries, words, trigrams) counted over all entries of the facet, where these are only a part of them."""
 
-    def __init__(self, entries: list[tuple[str, list[str]]]):
+    def __init__(self, entries: list[tuple[str, list[str]]], whole: tuple[int, Counter, Counter] | None = None):
         self.ids: list[str] = []
         self.forms: list[list[str]] = []
         self.exact: dict[str, set[int]] = defaultdict(set)
@@ -74,16 +77,14 @@ class Facet:
                     kept = [t for t in ws if t not in FILLERS] or ws
                     self.exact[" ".join(sorted(kept))].add(own)
                     self.exact["".join(ws)].add(own)
-        n = len(self.forms)
-        df = Counter(t for f in self.forms for t in set(f))
+        n, df, gram_df = whole or self.counts()
         self.weight = {t: math.log(1 + n / c) for t, c in df.items()}
         self.vocabulary = list(df)
         self.letters = [(v, len(v), _letters(v)) for v in df]
         self.near: dict[tuple[str, bool], dict[str, float]] = {}
-        gram_df = Counter(g for f in self.forms for g in grams(f))
         self.gram_weight = {g: math.log(1 + n / c) for g, c in gram_df.items()}
         lists: dict[str, list[int]] = defaultdict(list)
-        norm = np.zeros(n)
+        norm = np.zeros(len(self.forms))
         for i, f in enumerate(self.forms):
             for g in grams(f):
                 lists[g].append(i)
@@ -91,20 +92,20 @@ class Facet:
         self.norm = np.sqrt(norm)
         self.lists = {g: np.array(v) for g, v in lists.items()}
 
+    def counts(self) -> tuple[int, Counter, Counter]:
+        """(entries, entries by word, entries by trigram)."""
+        return len(self.forms), Counter(t for f in self.forms for t in set(f)), Counter(g for f in self.forms for g in grams(f))
+
     def candidates(self, tokens: list[str]) -> list[int]:
-        """The entries with the highest trigram cosine; ties of the last place are all kept."""
+        """All entries whose trigram cosine reaches FLOOR."""
         score, own = np.zeros(len(self.ids)), 0.0
         for g in grams(tokens):
             w = self.gram_weight.get(g)
             own += (w or 1.0) ** 2
-            if w:
+            if w and g in self.lists:
                 score[self.lists[g]] += w * w
         score /= self.norm * math.sqrt(own or 1.0)
-        if len(score) > CANDIDATES:
-            least = max(0.2, float(np.partition(score, -CANDIDATES)[-CANDIDATES]) - 1e-9)
-        else:
-            least = 0.2
-        return np.flatnonzero(score >= least).tolist()
+        return np.flatnonzero(score >= FLOOR).tolist()
 
     def like(self, token: str, marked: bool, last: bool) -> dict[str, float]:
         """Vocabulary words that `token` may stand for, each with a similarity."""
@@ -170,28 +171,44 @@ class Facet:
         form = self.forms[i]
         return any(osa(typed, end, 2 if len(end) > 7 else 1) <= (2 if len(end) > 7 else 1) for k in range(1, len(form)) if len(end := "".join(form[-k:])) > 3)
 
-    def find(self, text: str, threshold: float, margin: float) -> tuple[str | None, float]:
+    def read(self, text: str) -> list[tuple[int, float, str | None]]:
+        """(how, score, entry): what these entries say of a value; `decide` settles it, with what other parts of the facet say."""
         ws = words(text)
         kept = [w for w in ws if w[0] not in FILLERS] or ws
         if not kept:
-            return None, 0.0
+            return []
         plain = [t for t, _ in kept]
-        hit = self.exact.get(" ".join(sorted(plain))) or self.exact.get("".join(t for t, _ in ws)) or (self.short.get(plain[0]) if len(plain) == 1 else None)
-        if hit and not any(m for _, m in kept):
-            return (self.ids[next(iter(hit))], 1.0) if len(hit) == 1 else (None, 1.0)
+        out: list[tuple[int, float, str | None]] = []
+        if not any(m for _, m in kept):
+            for hits in (self.exact.get(" ".join(sorted(plain))), self.exact.get("".join(t for t, _ in ws)), self.short.get(plain[0]) if len(plain) == 1 else None):
+                if hits:
+                    out += [(EXACT, 1.0, self.ids[i]) for i in hits]
+                    break
         named = {i for t in plain for i in self.short.get(t, ())}
-        if len(kept) > 1 and len(named) == 1 and self.tail(kept, i := next(iter(named))):  # the short form and part of the name together
-            return self.ids[i], 0.9
+        if len(kept) > 1:
+            out += [(SHORT, 0.9 if self.tail(kept, i) else 0.0, self.ids[i]) for i in named]
         options = [self.like(t, m, k == len(kept) - 1) for k, (t, m) in enumerate(kept)]
         misspelt = [not o and len(t) > 2 and any(osa(t, f, 1) <= 1 for f in LONG_FILLERS) for o, (t, _) in zip(options, kept)]
         if any(misspelt) and not all(misspelt):
             kept, options = [k for k, m in zip(kept, misspelt) if not m], [o for o, m in zip(options, misspelt) if not m]
-        scored = sorted(((self.score(kept, options, i), i) for i in {*self.candidates(plain), *named}), reverse=True)
-        if not scored or scored[0][0] < threshold:
-            return None, scored[0][0] if scored else 0.0
-        if len(scored) > 1 and scored[0][0] - scored[1][0] < margin:
-            return None, scored[0][0]
-        return self.ids[scored[0][1]], scored[0][0]
+        if not out or out[0][0] != EXACT:
+            scored = sorted(((self.score(kept, options, i), i) for i in {*self.candidates(plain), *named}), reverse=True)
+            out += [(SCORED, s, self.ids[i]) for s, i in scored[:2]]  # the best and its rival decide
+        return out
+
+
+def decide(said: list[tuple[int, float, str | None]], threshold: float, margin: float) -> tuple[str | None, float]:
+    """(entry or None, score) from all that was read: one exact name, else a short form of one entry beside part of its name, else the best score above the threshold if it leads by the margin."""
+    exact = {e for how, _, e in said if how == EXACT}
+    if exact:
+        return (next(iter(exact)) if len(exact) == 1 else None), 1.0
+    short = {e: s for how, s, e in said if how == SHORT}
+    if len(short) == 1 and next(iter(short.values())) > 0:
+        return next(iter(short)), 0.9
+    scored = sorted(((s, e) for how, s, e in said if how == SCORED), reverse=True)
+    if not scored or scored[0][0] < threshold or len(scored) > 1 and scored[0][0] - scored[1][0] < margin:
+        return None, scored[0][0] if scored else 0.0
+    return scored[0][1], scored[0][0]
 
 
 def _aliases(text: str | None) -> list[str]:
@@ -208,31 +225,52 @@ def map_values(values: DataFrame, reference: DataFrame, threshold: float = 0.72,
     `values`: facet, surface; `reference`: element_id, facet, display_name, aliases_json. An entry is a candidate only in its own
     facet. Null or blank values, values of an unknown facet and all values against an empty list are unmatched. Broken alias
     lists count as empty. Values that are an exact name of two entries are unmatched, as no entry leads.
-    The list is held in parts of PART entries; each part yields its best entry, and the best of all parts must lead by the margin too.
+    The list is held in parts of PART entries. Words and trigrams are counted over the whole list first, and the parts' findings are decided together, so
+    the answers don't depend on the number of parts.
     """
     rows = reference.select("element_id", "facet", "display_name", "aliases_json").where("element_id is not null and display_name is not null")
     parts = max(1, -(-rows.count() // PART))
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = values.select("facet", "surface").distinct().repartition(tasks, "facet", "surface")  # few bytes, much work
+    part = lambda p: rows.where(F.pmod(F.xxhash64("element_id"), F.lit(parts)) == p).orderBy("element_id").collect()  # noqa: E731 - at most about PART entries
+
+    def facets(mine: list, whole: dict[str, tuple[int, Counter, Counter]] | None = None) -> dict[str, Facet]:
+        by: dict[str, list] = defaultdict(list)
+        for element, facet, name, aliases in mine:
+            by[facet].append((element, [name, *_aliases(aliases)]))
+        return {f: Facet(e, whole and whole[f]) for f, e in by.items()}
+
+    whole: dict[str, tuple[int, Counter, Counter]] | None = None
+    if parts > 1:
+        whole = {}
+        for p in range(parts):
+            for f, index in facets(part(p)).items():
+                n, df, gram_df = whole.get(f, (0, Counter(), Counter()))
+                m, more, grams_ = index.counts()
+                whole[f] = (n + m, df + more, gram_df + grams_)
     found = None
     for p in range(parts):
-        mine = rows.where(F.pmod(F.xxhash64("element_id"), F.lit(parts)) == p).orderBy("element_id").collect()  # at most about PART entries
-        sent = values.sparkSession.sparkContext.broadcast([(r[0], r[1], r[2], r[3]) for r in mine])
+        sent = values.sparkSession.sparkContext.broadcast(([tuple(r) for r in part(p)], whole))
 
         def scan(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            by: dict[str, list] = defaultdict(list)
-            for element, facet, name, aliases in sent.value:
-                by[facet].append((element, [name, *_aliases(aliases)]))
-            facets = {f: Facet(e) for f, e in by.items()}
+            own = facets(*sent.value)
             for pdf in frames:
-                out = [facets[f].find(s, threshold, margin) if f in facets and s else (None, 0.0) for f, s in zip(pdf["facet"], pdf["surface"])]
-                yield pdf.assign(element_id=[o[0] for o in out], score=[float(o[1]) for o in out])
+                said = [own[f].read(s) if f in own and s else [] for f, s in zip(pdf["facet"], pdf["surface"])]
+                if parts > 1:
+                    yield pdf.assign(said=[[{"how": h, "score": float(x), "element_id": e} for h, x, e in r] for r in said])
+                else:
+                    out = [decide(r, threshold, margin) for r in said]
+                    yield pdf.assign(element_id=[o[0] for o in out], score=[float(o[1]) for o in out])
 
-        one = distinct.mapInPandas(scan, "facet string, surface string, element_id string, score double")
+        one = distinct.mapInPandas(scan, "facet string, surface string, " + ("said array<struct<how:int,score:double,element_id:string>>" if parts > 1 else "element_id string, score double"))
         found = one if found is None else found.unionAll(one)
     if parts > 1:
-        best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "element_id")))  # one row per part
-        top = found.groupBy("facet", "surface").agg(best.alias("b"))
-        lead = (F.size("b") < 2) | (F.col("b")[1]["s"] - F.col("b")[0]["s"] >= margin)
-        found = top.select("facet", "surface", F.when(lead, F.col("b")[0]["element_id"]).alias("element_id"), (-F.col("b")[0]["s"]).alias("score"))
+        together = found.groupBy("facet", "surface").agg(F.flatten(F.collect_list("said")).alias("said"))  # a few findings per part
+
+        def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                out = [decide([(x["how"], x["score"], x["element_id"]) for x in r], threshold, margin) for r in pdf["said"]]
+                yield pdf[["facet", "surface"]].assign(element_id=[o[0] for o in out], score=[float(o[1]) for o in out])
+
+        found = together.mapInPandas(settle, "facet string, surface string, element_id string, score double")
     return found.withColumn("element_id", F.coalesce("element_id", F.lit(UNMATCHED)))

@@ -34,17 +34,22 @@ def words(text: str) -> list[str]:
     return _WORD.findall(_BROKEN.sub("", text).lower())
 
 
+def counts(texts: list[list[str]]) -> tuple[int, int, Counter]:
+    """(items, words, items by word)."""
+    return len(texts), sum(map(len, texts)), Counter(t for ws in texts for t in set(ws))
+
+
 class Index:
-    """BM25 impacts of the items, as postings in blocks with the greatest impact of each block and list."""
+    """BM25 impacts of the items, as postings in blocks with the greatest impact of each block and list. `whole`: (items, words, items by word) of all items, where these are only a part of them."""
 
-    def __init__(self, items: list[tuple[int, str, str]]):
+    def __init__(self, items: list[tuple[int, str, str]], whole: tuple[int, int, Counter] | None = None):
         self.ids = [i for i, _, _ in items]
         self.texts = [words(t) for _, t, _ in items]
         self.bigrams = [set(zip(t, t[1:])) for t in self.texts]
         self.answers = [words(a or "") for _, _, a in items]
-        n = len(items)
-        mean = sum(map(len, self.texts)) / max(1, n)
-        df = Counter(t for ws in self.texts for t in set(ws))
+        n, length, df = whole or counts(self.texts)
+        mean = length / max(1, n)
+        self.known = df
         self.postings: dict[str, tuple[np.ndarray, ...]] = {}
         self.most: dict[str, float] = {}
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
@@ -53,7 +58,7 @@ class Index:
             full = sum(impact.values()) or 1.0
             for t, w in impact.items():
                 lists[t].append((i, w / full))
-        self.size, self.blocks = n, -(-n // BLOCK)
+        self.size, self.blocks = len(items), -(-len(items) // BLOCK)
         for t, ps in lists.items():
             ids, ws = np.array([i for i, _ in ps]), np.array([w for _, w in ps])
             own, first = np.unique(ids // BLOCK, return_index=True)
@@ -143,13 +148,18 @@ def leaks(documents: DataFrame, items: DataFrame, retrieve: float = 0.22, share:
     """
     rows = items.where("item_id is not null and text is not null").dropDuplicates(["item_id"])
     parts = max(1, -(-rows.count() // PART))
+    part = lambda p: [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).select("item_id", "text", "answer").orderBy("item_id").collect() if r[1].strip()]  # noqa: E731 - at most about PART items
+    whole = None
+    if parts > 1:  # weights are those of all items, so the findings don't depend on the number of parts
+        whole = (0, 0, Counter())
+        for p in range(parts):
+            whole = tuple(x + y for x, y in zip(whole, counts([words(t) for _, t, _ in part(p)])))
     found = None
     for p in range(parts):
-        mine = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).select("item_id", "text", "answer").orderBy("item_id").collect()  # at most about PART items
-        sent = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in mine if r[1].strip()])
+        sent = documents.sparkSession.sparkContext.broadcast((part(p), whole))
 
         def scan(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = Index(sent.value)
+            index = Index(*sent.value)
             for pdf in frames:
                 out = []
                 for doc, text in zip(pdf["doc_id"], pdf["text"]):
@@ -183,7 +193,7 @@ def scan_text(index: Index, text: str, retrieve: float, share: float, least: int
         own = [x for x in own if sum(b in index.bigrams[i] for b in zip(ws[x[0] : x[1]], ws[x[0] + 1 : x[1]])) >= need]
         if not own:
             continue
-        best = max((aligned(index.texts[i], ws[lo:hi], index.postings) + (lo,) for lo, hi in own), key=lambda x: x[0])
+        best = max((aligned(index.texts[i], ws[lo:hi], index.known) + (lo,) for lo, hi in own), key=lambda x: x[0])
         n, first, end, lo = best
         if n >= least and n >= share * len(index.texts[i]):
             answer = index.answers[i]

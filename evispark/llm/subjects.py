@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from evispark.session import cut
 
 #: Labelled documents that the classifier is fitted on, at most.
+#: Rows the list of subject areas may have; more raise an error.
+MAX_SUBJECTS = 1_000
 MAX_LABELLED = 20_000
 SOURCE_BINS = 16
 _WORD = re.compile(r"[^\W\d_]{2,}")
@@ -222,7 +224,10 @@ def count_terms(docs: DataFrame, subjects: list[str], model: Terms | None) -> pd
 
 def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = 2) -> tuple[list[str], Terms | None, Chain | None]:
     """Subjects, term weights and chain; the last two are None without subjects or labels."""
-    described = sorted({(r[0].strip().lower(), r[1] or "") for r in areas.where("subject is not null").select("subject", "description").limit(1000).collect()})
+    listed = areas.where("subject is not null").select("subject", "description").limit(MAX_SUBJECTS + 1).collect()
+    if len(listed) > MAX_SUBJECTS:
+        raise ValueError("more subject areas than MAX_SUBJECTS")
+    described = sorted({(r[0].strip().lower(), r[1] or "") for r in listed})
     subjects = sorted({s for s, _ in described})
     if not subjects:
         return [], None, None

@@ -106,8 +106,13 @@ def test_mapping_in_parts_and_empty(spark, monkeypatch):
     ref = spark.createDataFrame(ELEMENTS, "element_id string, facet string, display_name string, aliases_json string")
     values = spark.createDataFrame([("m", "sodium silica powdr"), ("n", "RVHT"), ("m", "x" * 5000)], "facet string, surface string")
     whole = rows(canonical.map_values(values, ref).select("facet", "surface", "element_id"))
+    more = spark.createDataFrame([(f"x/{i}", "m", f"{a} {b} {c}", None) for i, (a, b, c) in enumerate((a, b, c) for a in ("sodium", "acid", "silver") for b in ("silica", "carbon") for c in ("powder", "membrane", "glass"))], ref.schema)
+    typed = values.unionAll(spark.createDataFrame([("m", x) for x in ("sodium silica powder", "silver carbn glass", "acid membrane", "carbon powdr", "sodium silica", "ACM", "acid-treated carb. membrane", "silver carbon glas method")], "facet string, surface string"))
+    wide = rows(canonical.map_values(typed, ref.unionAll(more)))
     monkeypatch.setattr(canonical, "PART", 2)
     assert rows(canonical.map_values(values, ref).select("facet", "surface", "element_id")) == whole
+    monkeypatch.setattr(canonical, "PART", 5)
+    assert rows(canonical.map_values(typed, ref.unionAll(more))) == wide and len({r[2] for r in wide}) > 3
     assert {r["element_id"] for r in canonical.map_values(values, ref.limit(0)).collect()} == {"unmatched"}
     assert canonical.map_values(values.limit(0), ref).count() == 0
 
@@ -269,6 +274,17 @@ def test_leaks(spark, text, hit):
     assert got == ([(7, 1)] if hit else [])
 
 
+def test_leaks_dont_depend_on_parts(spark, monkeypatch):
+    rng = random.Random(12)
+    pool = [f"word{chr(97 + k % 26)}{k}" for k in range(150)]
+    items = [(i, " ".join(rng.choices(pool, k=24)), "x") for i in range(20)]
+    docs = [(d, " ".join(rng.choices(pool, k=120) + items[d % 20][1].split()[: 8 + d % 16] + rng.choices(pool, k=60))) for d in range(60)]
+    run = lambda: rows(leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string, answer string")))
+    one = run()
+    monkeypatch.setattr(leakage, "PART", 6)
+    assert run() == one and 10 < len(one) < 100
+
+
 def test_search_misses_nothing():
     rng = random.Random(1)
     words = [f"w{k}" for k in range(60)]
