@@ -14,11 +14,6 @@ from evispark.session import cut
 from evispark.tables import latest, table
 
 
-def in11_title_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    a = latest(table(spark, sf, "articles"), ["article_id"], "exported_at", ["title"])
-    return N.token_overlap(a, "article_id", "title")
-
-
 def in14_profile(spark: SparkSession, sf: str) -> DataFrame:
     a = latest(table(spark, sf, "articles"), ["article_id"], "exported_at", ["title"])
     return a.groupBy(N.profile(F.col("title")).alias("profile")).agg(F.count("*").alias("n"))
@@ -34,12 +29,6 @@ def in20_next_id(spark: SparkSession, sf: str) -> DataFrame:
     return N.next_id(table(spark, sf, "papers"), "paper_id")
 
 
-def in22_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Last source of each citation with the number of deliveries and their first and last time."""
-    c = table(spark, sf, "citations")
-    return c.groupBy("citation_id").agg(F.max_by("source", "harvested_at").alias("last_source"), F.count("*").alias("attempts"), F.min("harvested_at").alias("first"), F.max("harvested_at").alias("last"))
-
-
 def el1_prompt_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks for extraction: included, with text or caption, cut at 700 characters for the prompt."""
     b = blocks(spark, sf).where("coalesce(include, false)")
@@ -89,14 +78,11 @@ _PF1 = W + """, u as (select paper_id, sum((facet in ('finding', 'analysis'))::i
  pf as (select paper_id, coalesce(atoms, 0) atoms, coalesce(len(main_findings), 0) syntheses, coalesce(materials, 0) materials from pap left join u using (paper_id))"""
 _ART = "with a as (select article_id, arg_max(struct_pack(t := title), exported_at).t title from articles group by 1)"
 SQL = {
-    "in11_title_overlap": _ART + f""", w as (select article_id id, {_WS.format('title')} w from a where title is not null), x as (select id, len(w) n, unnest(w) t from w where len(w) > 0),
- s as (select p.id a, q.id b, count(*) shared, least(p.n, q.n) smaller from x p join x q on p.t = q.t and p.id < q.id group by p.id, q.id, p.n, q.n) select * from s where shared >= 0.72 * smaller - 1e-9""",
     "in14_profile": _ART + r""", t as (select coalesce(title, '') t from a), w as (select t, lower(t) l, len(list_filter(regexp_extract_all(t, '[A-Za-z]{3,}'), lambda x: lower(x) not in ('pdf', 'zot', 'doi', 'tokens', 's0066', 'index'))) n, length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) / greatest(1, length(t)) s from t)
  select case when regexp_matches(l, '(?:^|[^a-z0-9])subject[\s_.-]*index(?:$|[^a-z0-9])') then 'subject_index' when regexp_matches(l, 'b97[89][\d.\-]') and regexp_matches(l, '(?:^|[^a-z0-9])index(?:$|[^a-z0-9])') then 'book_index' when regexp_matches(t, '[㐀-鿿]') then 'cjk_filename'
   when s >= 0.15 and n < 4 then 'mostly_non_ascii_filename' when n >= 4 then 'english_title_tokens' else 'no_defer_signal' end profile, count(*) n from w group by 1""",
     "in17_dedupe": "with f as (select text, min(doc_id) first from documents where trim(text) <> '' group by 1) select case when f.text is null then 'no_full_text' when doc_id = first then 'kept' else 'duplicate' end status, count(*) n, min(doc_id) first from documents d left join f on d.text = f.text group by 1",
     "in20_next_id": "select coalesce(max(try_cast(nullif(regexp_extract(paper_id, '^S([0-9]+)$', 1), '') as bigint)), 0) + 1 as next from papers",
-    "in22_state": "select citation_id, arg_max(source, harvested_at) last_source, count(*) attempts, min(harvested_at) as first, max(harvested_at) as last from citations group by 1",
     "el1_prompt_blocks": B + ", t as (select id, coalesce(nullif(trim(text), ''), trim(caption)) t from b where coalesce(include_in_reading, false)) select id, substring(t, 1, 700) prompt from t where t <> ''",
     "g18_fingerprints": W + "select paper_id, sha256(string_agg(element_id, '|' order by element_id)) fingerprint from used group by 1",
     "c17_freshness": """with u as (select paper_id, max(loaded_at) u from reading_blocks where paper_id is not null group by 1), d as (select paper_id, max(loaded_at) d from occurrences group by 1)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.operators import units
-from evispark.plans import block_queries, connect_queries, evidence_queries, graph_queries, index_queries, map_queries, more_queries, registry_queries, text_queries
+from evispark.plans import block_queries, connect_queries, evidence_queries, graph_queries, index_queries, map_queries, more_queries, pool_queries, registry_queries, text_queries
 from evispark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return text.distinct()
 
 
-_MODULES = [block_queries, connect_queries, evidence_queries, index_queries, graph_queries, map_queries, text_queries, more_queries, registry_queries]
+_MODULES = [block_queries, connect_queries, evidence_queries, index_queries, graph_queries, map_queries, pool_queries, text_queries, more_queries, registry_queries]
 QUERIES: dict[str, Query] = {"p4_found": p4_found}
 SQL: dict[str, str] = {}
 for _m in _MODULES:

@@ -21,13 +21,6 @@ def in1_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-def in3_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents by source with empty texts and duplicates."""
-    d = table(spark, sf, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), (F.trim(F.coalesce("text", F.lit(""))) == "").cast("int").alias("e"))
-    n = d.groupBy("h").agg(F.count("*").alias("n"))
-    return d.join(n, "h").groupBy("source").agg(F.count("*").alias("documents"), F.sum("e").alias("empty"), F.sum((F.col("n") > 1).cast("int")).alias("duplicated"))
-
-
 def in15_cjk(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", E.cjk_share_all(F.col("text")).alias("share"), E.cjk_share_letters(F.col("text")).alias("letter_share"))
     return d.withColumn("defer", F.col("share") > 0.05).withColumn("letter_defer", F.col("letter_share") >= 0.15)
@@ -106,7 +99,6 @@ _T2 = r"trim(regexp_replace(lower(regexp_replace(trim(coalesce(section_title, ''
 
 SQL = {
     "in1_hashes": "select sha256(text) hash, count(*) n, min(doc_id) first from documents where text is not null group by 1 having count(*) > 1",
-    "in3_audit": "with d as (select source, coalesce(text, '') t, (trim(coalesce(text, '')) = '')::int e from documents), n as (select t, count(*) n from d group by 1) select source, count(*) documents, sum(e) empty, sum((n > 1)::int) duplicated from d join n using (t) group by 1",
     "in15_cjk": r"""with d as (select doc_id, length(coalesce(text, '')) l, length(regexp_replace(coalesce(text, ''), '[^㐀-鿿]', '', 'g')) c, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) a from documents),
  s as (select doc_id, case when l > 0 then c / l else 0.0 end share, case when c + a > 0 then round(c / (c + a), 4) else 0.0 end letter_share from d) select *, share > 0.05 defer, letter_share >= 0.15 letter_defer from s""",
     "rb2_section_kind": B + f""", t as (select section_title, {_T2} t from b) select section_title, case when t in ('abstract', 'a_b_s_t_r_a_c_t') then 'abstract' when contains(t, 'keyword') then 'keywords' when contains(t, 'introduction') then 'introduction'

@@ -14,7 +14,8 @@ def scan(spark: SparkSession, pattern: str, schema: StructType) -> DataFrame:
     """
     with_bad = StructType([*schema.fields, StructField("_bad", StringType())])
     df = spark.read.schema(with_bad).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(pattern)
-    df = df.withColumn("path", F.col("_metadata.file_path")).withColumn("dir", F.regexp_extract("path", "([^/]+)/[^/]+$", 1)).cache().where("_bad is null").drop("_bad")
+    df = df.withColumn("path", F.col("_metadata.file_path")).withColumn("dir", F.regexp_extract("path", "([^/]+)/[^/]+$", 1))
+    df = df.select(F.struct(*df.columns).alias("_d")).where("_d._bad is null").select("_d.*").drop("_bad")  # as a whole: the reader refuses a query of the broken column alone
     return df.withColumn("paper_id", F.coalesce("paper_id", "dir")) if "paper_id" in schema.fieldNames() else df.withColumn("paper_id", F.col("dir"))
 
 
@@ -32,6 +33,8 @@ def replace_table(df: DataFrame, path: str) -> None:
     version = max(versions, default=0) + 1
     df.write.parquet(f"{path}/v{version}")
     spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+    for old in sorted(versions)[:-1]:  # the version before stays for readers that have it open
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{old}"), True)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
