@@ -34,6 +34,10 @@ MENTION = T.ArrayType(
 )
 #: Spellings the graph on the driver may have. Unit spellings don't grow with the rows; more of them is a wrong input.
 MAX_SPELLINGS = 5_000
+#: Decades between a known conversion and the estimate from which the estimate may refuse it, and the (entities, values) of a link that may.
+REFUSED, STRONG = 1.5, (8, 200)
+#: Rows the list of wanted quantities may have; more raise an error.
+MAX_TARGETS = 1_000
 
 
 def stated(df: DataFrame, key: str, entity: str, text: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -50,8 +54,8 @@ def stated(df: DataFrame, key: str, entity: str, text: str, extra: tuple[str, ..
     return digits.select("key", "entity", F.explode(read("_t")).alias("m")).select("key", "entity", "m.*")
 
 
-def unknown_spellings(df: DataFrame, values_json: str, least: int = 20) -> list[str]:
-    """Spellings recorded as a unit in at least `least` value lists that are no known unit.
+def unknown_spellings(df: DataFrame, values_json: str, least: int = 3) -> list[str]:
+    """Spellings recorded as a unit in at least `least` value lists that are no known unit; fewer than three give no estimate.
 
     Null, empty and broken lists give none. The result is bounded by MAX_SPELLINGS; more raises an error instead of being cut.
     """
@@ -74,9 +78,9 @@ def profiles(rows: DataFrame) -> DataFrame:
 
 
 def pairwise(profile: DataFrame, least: int = 3) -> DataFrame:
-    """(a, b, entities, n, log_scale, med_a, med_b, spread_a, spread_b) for spellings a < b that share entities.
+    """(a, b, entities, n, log_scale, disagree, med_a, med_b, spread_a, spread_b) for spellings a < b that share entities.
 
-    log_scale is the median over the entities of log10(median under a / median under b). The join is on the entity, whose
+    log_scale is the median over the entities of log10(median under a / median under b), disagree the range of the middle four fifths of them. The join is on the entity, whose
     rows are already one per spelling.
     """
     p = profile.where(F.col("n") >= least)
@@ -88,6 +92,7 @@ def pairwise(profile: DataFrame, least: int = 3) -> DataFrame:
         F.count("*").alias("entities"),
         F.sum(F.least("n_a", "n_b")).alias("n"),
         F.percentile_approx(ratio, 0.5, 1000).alias("log_scale"),
+        (F.percentile_approx(ratio, 0.9, 1000) - F.percentile_approx(ratio, 0.1, 1000)).alias("disagree"),
         F.percentile_approx("med_a", 0.5, 1000).alias("med_a"),
         F.percentile_approx("med_b", 0.5, 1000).alias("med_b"),
         F.percentile_approx(F.col("q3_a") - F.col("q1_a"), 0.5, 1000).alias("spread_a"),
@@ -101,7 +106,8 @@ def propagate(links: list[dict], spellings: list[str], targets: dict[str, str],
     Links are walked strongest first. At each step the estimate for the new spelling is the settled map of its neighbour
     composed with the pair's estimate; it is snapped to the nearest candidate conversion. how: `common` (the
     target itself), `confirmed` (known, and the estimate is within `tolerance` decades), `known` (known, no link or an estimate
-    too coarse to say), `snapped` (unknown, and its links lead to one conversion). Spellings with neither are left out.
+    too coarse to say), `snapped` (unknown, and its links lead to one conversion), `refused` (known, but a link of at least STRONG entities and values, whose entities agree within `tolerance`, puts it REFUSED decades or more from its
+    conversion and within `tolerance` of another of the quantity: it is used for that one). Spellings with neither are left out.
     """
     near: dict[str, list[tuple[float, str, dict, int]]] = {}
     for e in links:
@@ -125,16 +131,19 @@ def propagate(links: list[dict], spellings: list[str], targets: dict[str, str],
                 continue
             guess = _estimate(scale, offset, e, way)
             known = KNOWN.get(other)
+            options = {(s, o) for q, s, o in KNOWN.values() if q == quantity}
+            best = min(options, key=lambda x: _gap(x, guess, e, way)) if guess else None
             if known:
                 if known[0] != quantity:
                     continue  # an entity that holds two quantities links nothing
-                how = "confirmed" if guess and abs(math.log10(guess[0] / known[1])) <= tolerance else "known"
-                found = (*known, how)
+                off = _gap(known[1:], guess, e, way) if guess else 0.0
+                if guess and not offset and off >= REFUSED and e["disagree"] <= tolerance and e["entities"] >= STRONG[0] and e["n"] >= STRONG[1] and _gap(best, guess, e, way) <= tolerance:
+                    found = (quantity, *best, "refused")
+                else:
+                    found = (*known, "confirmed" if guess and abs(math.log10(guess[0] / known[1])) <= tolerance else "known")
             else:
                 if not guess:
                     continue
-                options = {(s, o) for q, s, o in KNOWN.values() if q == quantity}
-                best = min(options, key=lambda x: _gap(x, guess, e, way))
                 if _gap(best, guess, e, way) > tolerance:
                     continue
                 found = (quantity, *best, "snapped")
@@ -205,8 +214,16 @@ def harmonise(df: DataFrame, targets: DataFrame, key: str, entity: str, text: st
     `values_json` serves to find spellings that are no known unit; `entity` links recordings. Empty tables give no rows;
     a null text, an unreadable number and a quantity that isn't listed give no row; null keys are kept as null.
     """
-    wanted = {r["quantity"]: r["common_unit"] for r in targets.select("quantity", "common_unit").distinct().limit(1000).collect()}
+    rows, conversions = conversions_of(df, targets, key, entity, text, values_json)
+    return convert(rows, conversions).distinct()
+
+
+def conversions_of(df: DataFrame, targets: DataFrame, key: str, entity: str, text: str, values_json: str) -> tuple[DataFrame, dict[str, tuple[str, float, float, str]]]:
+    """(stated values, conversion of each spelling with how it was settled) for `harmonise`."""
+    listed = targets.select("quantity", "common_unit").distinct().limit(MAX_TARGETS + 1).collect()
+    if len(listed) > MAX_TARGETS:
+        raise ValueError("more quantities than MAX_TARGETS")
+    wanted = {r["quantity"]: r["common_unit"] for r in listed}
     extra = tuple(unknown_spellings(df, values_json))
     rows = cut(stated(df, key, entity, text, extra))
-    conversions = {u: c for u, c in unit_map(rows, wanted).items() if c[0] in wanted}
-    return convert(rows, conversions).distinct()
+    return rows, {u: c for u, c in unit_map(rows, wanted).items() if c[0] in wanted}

@@ -22,8 +22,16 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return text.distinct()
 
 
+def p4_conversions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each spelling with its conversion, how it was settled (common, confirmed, known, snapped, refused) and the values stated in it."""
+    occ = table(spark, sf, "occurrences").select("occ_id", "element_id", "quote", "values_json")
+    rows, found = units.conversions_of(occ, table(spark, sf, "unit_targets"), "occ_id", "element_id", "quote", "values_json")
+    c = spark.createDataFrame([(u, *x) for u, x in sorted(found.items())], "unit string, quantity string, scale double, shift double, how string")
+    return rows.groupBy("unit").agg(F.count("*").alias("stated")).join(F.broadcast(c), "unit")  # at most MAX_SPELLINGS rows
+
+
 _MODULES = [block_queries, connect_queries, evidence_queries, index_queries, graph_queries, map_queries, pool_queries, text_queries, more_queries, registry_queries]
-QUERIES: dict[str, Query] = {"p4_found": p4_found}
+QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_conversions": p4_conversions}
 SQL: dict[str, str] = {}
 for _m in _MODULES:
     QUERIES |= _m.QUERIES

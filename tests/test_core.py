@@ -105,6 +105,37 @@ def test_unknown_spelling_is_snapped(spark):
     assert found["kilopasc"] == ("pressure", 1e3, 0.0, "snapped") and found["Pa"][3] == "common"
 
 
+def _recorded(spark, spelling, factor, entities=12, n=60, seed=3):
+    """Values of one quantity per entity, recorded in Pa and under a spelling that means `factor` Pa."""
+    import random
+
+    rng = random.Random(seed)
+    data = []
+    for e in range(entities):
+        for _ in range(n):
+            x = 10 ** rng.gauss(4 + e % 4, 0.15)
+            data += [(len(data), f"e{e}", f"{x:.4g} Pa", '[{"raw": "a", "unit": "Pa", "num": "1"}]', ""), (len(data) + 1, f"e{e}", f"{x / factor:.4g} {spelling}", f'[{{"raw": "a", "unit": "{spelling}", "num": "1"}}]', "")]
+    return _occ(spark, data)
+
+
+@pytest.mark.parametrize("spelling, factor, entities, n", [("kilopasc", 1e3, 12, 60), ("megapsc", 1e6, 8, 40), ("barr", 1e5, 20, 12), ("atmosf", 101325.0, 12, 60)])
+def test_planted_spellings_are_recovered(spark, spelling, factor, entities, n):
+    df = _recorded(spark, spelling, factor, entities, n)
+    targets = spark.createDataFrame([("pressure", "Pa")], "quantity string, common_unit string")
+    rows_, found = units.conversions_of(df, targets, "occ_id", "element_id", "quote", "values_json")
+    assert found[spelling][3] == "snapped" and abs(math.log10(found[spelling][1] / factor)) < 0.02
+    got = units.convert(rows_, found)
+    assert got.count() == df.count()
+
+
+@pytest.mark.parametrize("entities, how", [(12, "refused"), (3, "known")])
+def test_a_known_unit_used_for_another_is_refused_on_strong_evidence(spark, entities, how):
+    df = _recorded(spark, "bar", 1e3, entities)
+    targets = spark.createDataFrame([("pressure", "Pa")], "quantity string, common_unit string")
+    _, found = units.conversions_of(df, targets, "occ_id", "element_id", "quote", "values_json")
+    assert found["bar"][3] == how and found["bar"][1] == pytest.approx(1e3 if how == "refused" else 1e5, rel=0.02)
+
+
 def test_latest(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "b", 2), (None, "c", 1), (2, None, None)], "id int, v string, t int")
     assert rows(latest(df, ["id"], "t", ["v"])) == sorted([(1, "b"), (2, None), (None, "c")], key=repr)
