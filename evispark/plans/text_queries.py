@@ -97,6 +97,8 @@ _KEY = rf"""regexp_replace(lower(case when contains({_NAME}, ',') then split_par
  left(regexp_replace(lower(case when contains({_NAME}, ',') then regexp_replace({_NAME}, '^[^,]*,', '') else regexp_replace({_NAME}, '\s*\S+$', '') end), '[^a-z]', '', 'g'), 1) g"""
 _T2 = r"trim(regexp_replace(lower(regexp_replace(trim(coalesce(section_title, '')), '^\d+(\.\d+)*\.?\s*', '')), '[^a-z0-9]+', '_', 'g'), '_')"
 
+# No look-behind in RE2: the character before a number is taken into the match instead.
+_VALUE = "(?:^|[^\\d.\\-])" + E.VALUE.split(")", 1)[1]
 SQL = {
     "in1_hashes": "select sha256(text) hash, count(*) n, min(doc_id) first from documents where text is not null group by 1 having count(*) > 1",
     "in15_cjk": r"""with d as (select doc_id, length(coalesce(text, '')) l, length(regexp_replace(coalesce(text, ''), '[^㐀-鿿]', '', 'g')) c, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) a from documents),
@@ -114,5 +116,7 @@ SQL = {
     "io14_export": B + """, p as (select paper_id, has_card from (select *, row_number() over (partition by paper_id order by loaded_at desc) rn from papers) where rn = 1),
  n as (select paper_id, count(*) blocks, sum((reading_type = 'figure')::int) figures, sum((reading_type = 'table')::int) tables, sum((reading_type = 'paragraph')::int) paragraphs from b group by 1)
  select paper_id, has_card, coalesce(blocks, 0) blocks, coalesce(figures, 0) figures, coalesce(tables, 0) tables, coalesce(paragraphs, 0) paragraphs, blocks is not null has_blocks from p left join n using (paper_id)""",
+    "el4_values": f"""with o as (select * from (select *, row_number() over (partition by occ_id order by loaded_at desc) rn from occurrences) where rn = 1 and facet = 'condition' and digits_verified = 1 and quote is not null),
+ v as (select unnest(regexp_extract_all(quote, '{_VALUE}', 1)) num, unnest(regexp_extract_all(quote, '{_VALUE}', 2)) unit from o) select unit, count(*) n, count(distinct regexp_replace(num, '\\s*[-–—~]\\s*', '-', 'g')) numbers from v group by 1""",
 }
-QUERIES = {k: globals()[k] for k in [*SQL, "el4_values"]}
+QUERIES = {k: globals()[k] for k in SQL}
