@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evispark.keys import short_text, squeeze
 from evispark.operators import evidence as E
 from evispark.operators.quotes import in_block, repaired_quote
+from evispark.session import ranked
 
 # Atom types, synthesis types, confidences, what is left out, section weights, words of the block score, topic words in order.
 ATOM_TYPES = ["method", "variable", "mechanism", "result", "quantitative_result", "limitation", "scope", "background", "other"]
@@ -294,20 +295,7 @@ def focused_quote(text: Column, query: Column, most: int = 280) -> Column:
 
 
 def even_sample(ids: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, pos): every step-th id in order, `n` in all, step = count // n (a sampling operator). Places are exact, from counts per range of ids, so no task holds all of them."""
-    spark = ids.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from evispark.session import cut
-
-    ranged = cut(ids.select(key).repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()))
-    counts = {r[0]: r[1] for r in ranged.groupBy("_p").count().collect()}  # one row per task
-    total, offset, at = sum(counts.values()), {}, 0
-    for p in sorted(counts):
-        offset[p] = at
-        at += counts[p]
-    step = max(1, total // n)
-    start = F.lit(0)
-    for p, o in offset.items():
-        start = F.when(F.col("_p") == p, o).otherwise(start)
-    pos = start + F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    return ranged.withColumn("pos", pos.cast("bigint")).where((F.col("pos") % step == 0) & (F.col("pos") < step * n)).select(key, "pos")
+    """(key, pos): every step-th id in order, `n` in all, step = count // n (a sampling operator)."""
+    places = ranked(ids.select(key), "pos", key).withColumn("pos", F.col("pos") - 1)
+    step = max(1, places.count() // n)
+    return places.where((F.col("pos") % step == 0) & (F.col("pos") < step * n)).select(key, "pos")

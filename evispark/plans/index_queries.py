@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evispark.operators import index as I
+from evispark.session import ranked
 from evispark.tables import latest, table
 
 
@@ -148,8 +149,8 @@ def q17_paper_list(spark: SparkSession, sf: str) -> DataFrame:
     """Papers that have `pore` in title or journal, newest first, undated last, with the review flag."""
     p = load(spark, sf).papers.select("paper_id", "title", "journal", I.year_of(F.col("year")).alias("y"))
     hit = p.where(F.lower(F.coalesce("title", F.lit(""))).contains("pore") | F.lower(F.coalesce("journal", F.lit(""))).contains("pore"))
-    order = Window.orderBy(F.col("y").desc_nulls_last(), F.lower("title").asc_nulls_last(), "paper_id")
-    return hit.withColumn("is_review", F.coalesce(F.lower("title").rlike("review|overview|survey"), F.lit(False))).withColumn("at", F.row_number().over(order))
+    hit = hit.withColumn("is_review", F.coalesce(F.lower("title").rlike("review|overview|survey"), F.lit(False)))
+    return ranked(hit, "at", F.col("y").desc_nulls_last(), F.lower("title").asc_nulls_last(), "paper_id")
 
 
 def q18_facet_tree(spark: SparkSession, sf: str) -> DataFrame:

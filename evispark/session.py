@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; a larger one is shuffled.
@@ -61,3 +61,15 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 def shuffled(df: DataFrame) -> DataFrame:
     """Mark a side that grows with the data: it is joined by sort and merge, whatever size Spark guesses for it, and never sent to the driver."""
     return df.hint("merge")
+
+
+def ranked(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """`df` with its place in the whole order, from 1: rows are sorted in ranges and each range starts after the rows of those before, so no task holds all of them. `order` must be total."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    counts = {r[0]: r[1] for r in ranged.groupBy("_part").count().collect()}  # one row per task
+    start, at = F.lit(0), 0
+    for p in sorted(counts):
+        start, at = F.when(F.col("_part") == p, at).otherwise(start), at + counts[p]
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn(name, (start + within).cast("bigint")).drop("_part")
