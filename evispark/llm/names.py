@@ -1,7 +1,7 @@
-"""Variant spellings of names: a trie join over name words, then token-order and initial checks.
+"""Variant spellings of names: a join of near name words, then token-order and initial checks.
 
-The distinct words of all names are sharded into tries by their first, middle and last two letters; each word walks the tries
-of its own letters with a Levenshtein automaton and so meets every word within the bounded distance. Rare words next to
+The distinct words of all names meet by what is left of them once one or two letters are taken out; long words are sharded into tries by their first,
+middle and last two letters and walked with a Levenshtein automaton. So each word meets every word within the bounded distance. Rare words next to
 a frequent one are read as that one. Names are then rebuilt from corrected words, the order of their parts is settled
 by where each word stands in the names whose order is plain, and names with the same parts are one person or organisation.
 """
@@ -143,17 +143,46 @@ def bound(n: int) -> int:
     return 0 if n < 4 else 2
 
 
+#: Letters up to which words meet by common deletions; longer ones, of which there are few, by tries.
+SHORT_WORD = 20
+
+
 def trie_join(words: DataFrame, part: int = 1_000) -> DataFrame:
     """(a, b, d): all pairs of distinct words, a <> b, within the bound of the shorter by insert, delete, replace and swap.
 
-    `words`: column w, distinct, lower case. A pair within two edits keeps its first two letters, its last two, or, if one edit touches
+    `words`: column w, distinct, lower case. Words of up to SHORT_WORD letters meet by what is left of them without one or two letters, longer ones by
+    sharded tries; both take in the lengths at the border, so a pair across it meets too.
+    """
+    short = _meet_by_deletions(words.where(f"length(w) between 4 and {SHORT_WORD}"))
+    once = short.unionByName(_meet_by_tries(words.where(f"length(w) >= {SHORT_WORD - 1}"), part)).distinct()
+    return once.unionAll(once.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+
+
+def _meet_by_deletions(words: DataFrame) -> DataFrame:
+    """(a, b, d), a < b, by equi-join: words within k edits are equal once at most k letters are taken from each, so no word is compared with one that isn't near. A key's words are bounded by the letters that can be put in."""
+    less = lambda x, i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1))
+    n = F.length("w")
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: less(F.col("w"), i))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: less(less(F.col("w"), i), j))))
+    keys = F.array_distinct(F.concat(F.array("w"), one, F.when(n >= 6, two).otherwise(F.array().cast("array<string>"))))
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = words.select("w").repartition(tasks, "w").select("w", F.explode(F.transform(keys, lambda x: F.xxhash64(x))).alias("key"))
+    j = k.withColumnRenamed("w", "a").join(shuffled(k.withColumnRenamed("w", "b")), "key").where("a < b and abs(length(a) - length(b)) <= 2")
+    j = j.withColumn("lev", F.levenshtein("a", "b", 2)).where("lev >= 0").select("a", "b", "lev").distinct()
+    cross = F.exists(F.sequence(F.lit(1), F.length("a") - 1), lambda i: F.concat(F.substr("a", F.lit(1), i - 1), F.substr("a", i + 1, F.lit(1)), F.substr("a", i, F.lit(1)), F.substr("a", i + 2)) == F.col("b"))
+    d = F.when((F.col("lev") == 2) & (F.length("a") == F.length("b")) & cross, 1).otherwise(F.col("lev"))
+    return j.select("a", "b", d.alias("d")).where("d <= if(least(length(a), length(b)) < 6, 1, 2)")
+
+
+def _meet_by_tries(words: DataFrame, part: int) -> DataFrame:
+    """(a, b, d), a < b. A pair within two edits keeps its first two letters, its last two, or, if one edit touches
     each end, two letters in its middle at most two places off; so each word is stored under those three and looks them up. Shards of more than
     `part` words are split, and every part is searched by all words of the shard, in as many slices.
     """
     bigram = lambda kind, at: F.concat(F.lit(kind), F.substring("w", at, 2) if isinstance(at, int) else at)
     middle = F.floor(F.length("w") / 2).cast("int")
     mid = lambda off: F.concat(F.lit("M"), F.substr("w", F.greatest(F.lit(1), middle + off), F.lit(2)))
-    base = words.where("length(w) >= 4")
+    base = words
     stored = base.select("w", F.explode(F.array(bigram("F", 1), F.concat(F.lit("L"), F.expr("right(w, 2)")), mid(0))).alias("shard"))
     asked = base.select("w", F.explode(F.array_distinct(F.array(bigram("F", 1), F.concat(F.lit("L"), F.expr("right(w, 2)")), *[mid(o) for o in range(-2, 3)]))).alias("shard"))
     parts = stored.groupBy("shard").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
@@ -174,8 +203,7 @@ def trie_join(words: DataFrame, part: int = 1_000) -> DataFrame:
 
     tasks = 4 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stored.unionByName(asked).repartition(tasks, "shard", "p", "s")  # few bytes, much work: not to be put together
-    once = rows.groupBy("shard", "p", "s").applyInPandas(walk, "a string, b string, d int").distinct()
-    return once.unionAll(once.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    return rows.groupBy("shard", "p", "s").applyInPandas(walk, "a string, b string, d int")
 
 
 def corrections(tokens: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFrame:

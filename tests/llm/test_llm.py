@@ -229,6 +229,19 @@ def test_trie_join_matches_brute_force(spark):
     assert got == want
 
 
+def test_near_words_of_all_lengths_meet(spark):
+    rng = random.Random(5)
+    words = {"john", "jhon", "jonh", "lima", "milan", "aaaa"}
+    for n in (4, 5, 6, 18, 19, 20, 21, 22, 23):
+        for _ in range(4):
+            w = "".join(rng.choice("abdelmnorsuvz") for _ in range(n))
+            words |= {w, w[1:], w[:2] + "x" + w[2:], w[:-2] + w[-1] + w[-2], w[1] + w[0] + w[2:], w[:3] + "yy" + w[3:]}
+    got = {(r["a"], r["b"]): r["d"] for r in names.trie_join(spark.createDataFrame([(w,) for w in words], "w string")).collect()}
+    want = {(a, b): osa(a, b, 2) for a in words for b in words if a != b and min(len(a), len(b)) >= 4 and osa(a, b, 2) <= (1 if min(len(a), len(b)) < 6 else 2)}
+    assert got.items() <= want.items() and got["john", "jhon"] == 1
+    assert not [(a, b) for a, b in want.keys() - got.keys() if b in names.neighbours(names.trie([b]), a, 2)]  # a swap counts as two edits
+
+
 def test_names_cases(spark):
     data = ["Lee-Brown, Robert", "Bob Lee-Brown, PhD", "LEE-BROWN, Robert", "R. Lee-Brown†", "Lee Brown R", "Robert Lee-Browm", "Anonymous", "", None, " ", "et al.", "The Basin Data Working Group", "Working Group of Basin Data", "Smith, Anna", "Smith, Alan", "A. Smith"]
     got = {frozenset(r) for r in names.variant_pairs(names.entities(spark.createDataFrame([(x,) for x in data + data], "name string"))).collect()}
