@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,7 +142,8 @@ def fold_events(elements: DataFrame, events: DataFrame) -> DataFrame:
 
     alias: added unless equal by norm_key to the name or an alias. rename: the old name becomes an alias, the entry is locked; nothing if equal. merge: redirect to
     the target as it resolves at that moment; a person's merge locks the target; a merge into itself or an unknown entry changes nothing. Events of
-    unknown entries are left out. Only entries joined by merges act on each other, so each component of the merge graph is folded on its own.
+    unknown entries are left out. Only entries joined by merges act on each other, so each component of the merge graph is folded on its own. An entry never loses
+    a key, so of the aliases of one key only the first changes anything and the rest are left out before.
     """
     merges = events.where("event = 'merge' and element_id is not null and detail is not null").select(F.col("element_id").alias("a"), F.col("detail").alias("b"))
     redirected = elements.where("redirect_to is not null").select(F.col("element_id").alias("a"), F.col("redirect_to").alias("b"))
@@ -148,34 +151,50 @@ def fold_events(elements: DataFrame, events: DataFrame) -> DataFrame:
     e = elements.join(comp, "element_id", "left").withColumn("component", F.coalesce("component", "element_id"))
     state = e.select("component", "element_id", "display_name", "aliases", "redirect_to", F.coalesce("human_locked", F.lit(0)).alias("human_locked"), F.lit(-1).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("event"), F.lit(None).cast("string").alias("detail"), F.lit(None).cast("string").alias("source"))
     none = lambda t: F.lit(None).cast(t)
+    alias = events.where("event = 'alias'").withColumn("_key", F.coalesce(norm_key(F.col("detail")), F.lit("")))
+    firsts = alias.groupBy("element_id", "_key").agg(F.min_by(F.struct("detail", "source", "seq"), F.coalesce("seq", F.lit(2**63 - 1))).alias("x")).select("x.seq", F.lit("alias").alias("event"), "element_id", "x.detail", "x.source")
+    events = events.where("event <> 'alias'").select("seq", "event", "element_id", "detail", "source").unionByName(firsts)
     log = events.join(e.select("element_id", "component"), "element_id").select("component", "element_id", none("string").alias("display_name"), none("array<string>").alias("aliases"), none("string").alias("redirect_to"), none("int").alias("human_locked"), F.col("seq").cast("bigint"), "event", "detail", "source")
     key = lambda s: " ".join("".join(ch if ch in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for ch in (s or "").lower()).split())
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at: dict[str, list] = {}
-        for r in pdf.sort_values("seq", kind="stable").itertuples(index=False):
-            if r.event is None:
-                at[r.element_id] = [r.display_name, list(r.aliases) if r.aliases is not None else [], r.redirect_to, int(r.human_locked)]
-                continue
-            mine = at[r.element_id]
-            if r.event == "alias" and key(r.detail) not in {key(mine[0]), *map(key, mine[1])}:
-                mine[1].append(r.detail)
-            elif r.event == "rename" and key(r.detail) != key(mine[0]):
-                if key(mine[0]) not in set(map(key, mine[1])):
-                    mine[1].append(mine[0])
-                mine[0], mine[3] = r.detail, 1
-            elif r.event == "merge" and r.detail in at:
-                to, seen = r.detail, set()
-                while to in at and at[to][2] and to not in seen:
-                    seen.add(to)
-                    to = at[to][2]
-                if to != r.element_id:
-                    mine[2] = to
-                    if r.source == "human" and to in at:
-                        at[to][3] = 1
-        return pd.DataFrame([(i, *v) for i, v in at.items()], columns=["element_id", "display_name", "aliases", "redirect_to", "human_locked"])
-
-    return state.unionByName(log).groupBy("component").applyInPandas(fold, EVENT_RESULT)
+        keys: dict[str, set[str]] = {}
+        now = None
+        rows = lambda: pd.DataFrame([(i, *v) for i, v in at.items()], columns=["element_id", "display_name", "aliases", "redirect_to", "human_locked"])
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                if r.component != now:
+                    if len(at) > 1_000:
+                        yield rows()
+                        at, keys = {}, {}
+                    now = r.component
+                if r.event is None:
+                    at[r.element_id] = [r.display_name, list(r.aliases) if r.aliases is not None else [], r.redirect_to, int(r.human_locked)]
+                    keys[r.element_id] = {key(r.display_name), *map(key, at[r.element_id][1])}
+                    continue
+                mine, known = at[r.element_id], keys[r.element_id]
+                if r.event == "alias" and key(r.detail) not in known:
+                    mine[1].append(r.detail)
+                    known.add(key(r.detail))
+                elif r.event == "rename" and key(r.detail) != key(mine[0]):
+                    if key(mine[0]) not in set(map(key, mine[1])):
+                        mine[1].append(mine[0])
+                    mine[0], mine[3] = r.detail, 1
+                    known.add(key(r.detail))
+                elif r.event == "merge" and r.detail in at:
+                    to, seen = r.detail, set()
+                    while to in at and at[to][2] and to not in seen:
+                        seen.add(to)
+                        to = at[to][2]
+                    if to != r.element_id:
+                        mine[2] = to
+                        if r.source == "human" and to in at:
+                            at[to][3] = 1
+        yield rows()
+
+    tasks = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return state.unionByName(log).repartition(tasks, "component").sortWithinPartitions("component", F.col("event").isNotNull(), F.asc_nulls_last("seq")).mapInPandas(fold, EVENT_RESULT)
 
 
 def derived_tags(rows: DataFrame, elements: DataFrame, kinds: dict[str, list[str]], limits: dict[str, int]) -> DataFrame:

@@ -1,6 +1,7 @@
 import glob
 import math
 import os
+import time
 
 import duckdb
 import pytest
@@ -210,6 +211,17 @@ def test_events(spark):
     assert got == {"a": ("One", ["I"], "c", 0), "b": ("Two", ["II"], "c", 0), "c": ("Drei", ["Three"], None, 1)}
 
 
+def test_an_entry_of_very_many_aliases_is_folded_once_per_key(spark):
+    e = spark.createDataFrame([("a", "One", [], None, 0), ("b", "Two", [], "a", 0)], "element_id string, display_name string, aliases array<string>, redirect_to string, human_locked int")
+    every = spark.range(40_000).selectExpr("id as seq", "'alias' as event", "'a' as element_id", "concat('Name ', if(id % 2 = 0, '', '- '), id % 2000) as detail", "'auto' as source")
+    log = every.unionAll(spark.createDataFrame([(500, "rename", "a", "name 7", "human"), (501, "rename", "a", "name 7!", "human"), (-5, "alias", "b", "Zwei", "auto"), (None, "alias", "b", "II", "auto")], "seq bigint, event string, element_id string, detail string, source string"))
+    began = time.monotonic()
+    got = {r["element_id"]: r for r in registry.fold_events(e, log).collect()}
+    assert time.monotonic() - began < 30
+    assert (got["a"]["display_name"], got["a"]["human_locked"], len(got["a"]["aliases"])) == ("name 7", 1, 2001) and got["a"]["aliases"][:2] == ["Name 0", "Name - 1"]
+    assert tuple(got["b"])[1:] == ("Two", ["Zwei", "II"], "a", 0)
+
+
 def test_chunks(spark):
     items = [("f", f"k{i:03d}", [f"c{i}", "c0"]) for i in range(65)] + [("g", "k", [f"d{i}" for i in range(300)]), ("g", "m", None), (None, "k", [])]
     got = {(r["facet"], r["key"]): r["chunk"] for r in resolution.pack_chunks(spark.createDataFrame(items, "facet string, key string, ids array<string>")).collect()}
