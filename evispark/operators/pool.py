@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.keys import norm_key, squeeze
+from evispark.session import cut
 
 # Flags of file names and of first texts with the class they mean, in order.
 NAME_FLAGS = [
@@ -227,10 +228,25 @@ def resolve_sources(wanted: DataFrame, files: DataFrame, stopwords: list[str]) -
     key = lambda c: F.regexp_extract(F.lower(c), r"\bj[._-]([a-z0-9]+[._-]\d{4}[._-][a-z0-9]+)", 1)
     k = wanted.withColumn("key", F.regexp_replace(key("name"), "[._-]", "")).where("key <> ''").join(files.select("file", F.regexp_replace(key("file"), "[._-]", "").alias("key")), "key").groupBy("paper_id").agg(F.min("file").alias("file"), F.count("*").alias("c")).where("c = 1").select("paper_id", "file", F.lit(2).alias("k"))
     words = lambda c: F.array_distinct(F.filter(F.split(norm_key(F.regexp_replace(c, r"\.[A-Za-z0-9]{1,5}$", "")), " "), lambda w: (F.length(w) >= 3) & ~w.isin(stopwords)))
-    w = wanted.select("paper_id", words("name").alias("ws")).where("size(ws) > 0").select("paper_id", F.size("ws").alias("n"), F.explode("ws").alias("t"))
-    s = w.join(files.select("file", F.explode(words("file")).alias("t")), "t").groupBy("paper_id", "n", "file").agg(F.count("*").alias("c")).withColumn("score", F.col("c") / F.col("n")).where("score >= 0.6")
-    order = Window.partitionBy("paper_id").orderBy(F.desc("score"), "file")
-    s = s.withColumn("r", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("r = 1 and (next is null or score > next + 0.15)").select("paper_id", "file", F.lit(3).alias("k"))
+    held = cut(files.select("file", words("file").alias("fs")).distinct())
+    posts = held.select("file", F.explode("fs").alias("t"))
+    df = posts.groupBy("t").agg(F.count("*").alias("df"))
+    todo = wanted.join(exact.unionByName(k), "paper_id", "left_anti").select("paper_id", words("name").alias("ws")).where("size(ws) > 0").distinct()
+    named = cut(todo.groupBy("ws").agg(F.collect_list("paper_id").alias("papers")).withColumn("w", F.xxhash64("ws")))  # papers of one name
+    t = named.select("w", "ws", F.size("ws").alias("n"), F.explode("ws").alias("t")).join(df, "t", "left")
+    t = cut(t.withColumn("r", F.row_number().over(Window.partitionBy("w", "ws").orderBy(F.coalesce("df", F.lit(0)), "t"))))  # the words of one name
+
+    def near(rows: DataFrame, least: float) -> DataFrame:
+        """Files that hold at least `least` of the words of a name: they hold one of its n - ceil(n least) + 1 rarest."""
+        rare = rows.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).join(posts, "t").select("w", "ws", "n", "file").distinct()
+        return rare.join(held, "file").select("ws", "file", (F.size(F.array_intersect("ws", "fs")) / F.col("n")).alias("score")).where(F.col("score") >= least)
+
+    full = cut(near(t, 1.0).groupBy("ws").agg(F.count("*").alias("c")))  # two files with all words: neither leads, and who else holds many can't change it
+    once = t.join(full.where("c = 1"), "ws", "left_semi")
+    s = near(once, 0.85).unionByName(near(t.join(full, "ws", "left_anti"), 0.6))
+    order = Window.partitionBy("ws").orderBy(F.desc("score"), "file")
+    s = s.withColumn("r", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("r = 1 and (next is null or score > next + 0.15)")
+    s = s.join(named.select("ws", F.explode("papers").alias("paper_id")), "ws").select("paper_id", "file", F.lit(3).alias("k"))
     best = exact.unionByName(k).unionByName(s).groupBy("paper_id").agg(F.min_by(F.struct("file", "k"), "k").alias("m"))
     return wanted.select("paper_id").join(best, "paper_id", "left").select("paper_id", F.col("m.file").alias("file"), F.when(F.col("m.k") == 1, "origin_filename").when(F.col("m.k") == 2, "doi_key").when(F.col("m.k") == 3, "title_tokens").alias("how"))
 

@@ -35,6 +35,26 @@ def test_sliced_pairs_equal_plain_ones(spark, monkeypatch):
     assert rows(graph.pair_sums(f, side)) == [r for r in plain if r[0] in ("p03", "p07") or r[1] in ("p03", "p07")]
 
 
+def test_sources_by_words_are_those_of_all_files_and_common_words_cost_nothing(spark):
+    rng = random.Random(6)
+    word = [f"word{c}" for c in "abcdefghijkl"]
+    names = {f"p{i:02d}": rng.sample(word, rng.randrange(1, 9)) for i in range(50)}
+    files = sorted({" ".join(rng.sample(word, rng.randrange(2, 10))) + ".pdf" for _ in range(30)} | {" ".join([*names[p], "more"]) + ".pdf" for p in list(names)[:20]})
+    want = {}
+    for p, ws in names.items():
+        near = sorted((-len(set(ws) & set(f[:-4].split())) / len(ws), f) for f in files)
+        near = [x for x in near if x[0] <= -0.6]
+        want[p] = near[0][1] if near and (len(near) == 1 or -near[0][0] > -near[1][0] + 0.15) else None
+    wanted = spark.createDataFrame([(p, " ".join(ws)) for p, ws in names.items()], "paper_id string, name string")
+    got = pool.resolve_sources(wanted, spark.createDataFrame([(f,) for f in files], "file string"), ["pdf"])
+    assert {r["paper_id"]: r["file"] for r in got.collect()} == want
+    many = spark.range(12_000).selectExpr("concat('p', id) as paper_id", "concat('of the core gas flow in coal case', id, '.pdf') as name")
+    began = time.monotonic()
+    got = pool.resolve_sources(many, many.selectExpr("concat('copy ', name) as file"), [])
+    assert got.where("file = concat('copy of the core gas flow in coal case', substring(paper_id, 2), '.pdf') and how = 'title_tokens'").count() == 12_000
+    assert time.monotonic() - began < 60
+
+
 def test_first_places_form_no_pairs(spark, sf, monkeypatch):
     from evispark.plans import map_queries
 
