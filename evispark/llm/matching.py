@@ -415,13 +415,34 @@ def dominant(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select("l", "r", "score") for t in taken], edges.limit(0))
 
 
-def match_works(left: DataFrame, right: DataFrame, left_key: str, right_key: str, window: int = 24, threshold: float = 4.0, largest: int = 200_000) -> DataFrame:
+def assign_works(works: DataFrame, largest: int | None = None) -> DataFrame:
+    """(l, r, score): the one-to-one pairs of greatest total confidence among works (l, r, score), a component per task."""
+    parts = cut(connected_components(works, "l", "r"))
+    placed = works.join(parts, F.col("l") == F.col("node")).drop("node")
+    if largest is not None:
+        placed = cut(placed.join(placed.groupBy("component").agg(F.count("*").alias("size")), "component"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in pdf.groupby("component"):
+            scores = dict(zip(zip(g["l"], g["r"]), g["score"]))
+            out += [(x, y, scores[x, y]) for x, y in assign(scores)]
+        return pd.DataFrame(out, columns=["l", "r", "score"])
+
+    tasks = int(works.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    small = (placed if largest is None else placed.where(F.col("size") <= largest)).withColumn("_g", F.pmod(F.xxhash64("component"), F.greatest(F.lit(tasks), F.lit(1))))
+    small = small.repartition(tasks, "_g").sortWithinPartitions("component")
+    solved = small.select("component", "l", "r", "score").mapInPandas(_by_component(solve), "l bigint, r bigint, score double")
+    return solved if largest is None else solved.unionAll(dominant(placed.where(F.col("size") > largest).select("l", "r", "score")))
+
+
+def match_works(left: DataFrame, right: DataFrame, left_key: str, right_key: str, window: int = 24, threshold: float = 4.0, largest: int | None = None) -> DataFrame:
     """(left id, right id, confidence): entries of both sources that describe the same work.
 
     Both tables have title, doi, year, journal, authors besides their key; rows with a null key are left out, every other
     field may be null or dirty, and other columns are ignored. Repeated rows count once. Entries of one source that pair are one work,
-    by connected components; works are assigned one to one by the best score of their entries, and all their entries are read out by join. Components of
-    more than `largest` pairs of works are never put into one task and assigned by rounds of mutual best pairs.
+    by connected components; works are assigned one to one by the best score of their entries, and all their entries are read out by join. Every
+    component is assigned exactly, whatever its size; only a caller that names `largest` has those of more pairs assigned by rounds of mutual best pairs.
     """
     records = read_records(left, 0, left_key).unionAll(read_records(right, 1, right_key)).dropDuplicates(["src", "id"])
     records = cut(without_placeholders(cut(records)))
@@ -433,22 +454,7 @@ def match_works(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     as_work = lambda c, o: F.coalesce(F.col(c), F.col(o))
     works = across.join(grouped.toDF("na", "wa"), "na", "left").join(grouped.toDF("nb", "wb"), "nb", "left")
     works = cut(works.groupBy(as_work("wa", "na").alias("l"), as_work("wb", "nb").alias("r")).agg(F.max("score").alias("score")))
-    parts = cut(connected_components(works, "l", "r"))
-    placed = works.join(parts, F.col("l") == F.col("node")).drop("node")
-    placed = cut(placed.join(placed.groupBy("component").agg(F.count("*").alias("size")), "component"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in pdf.groupby("component"):
-            scores = dict(zip(zip(g["l"], g["r"]), g["score"]))
-            out += [(x, y, scores[x, y]) for x, y in assign(scores)]
-        return pd.DataFrame(out, columns=["l", "r", "score"])
-
-    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    small = placed.where(F.col("size") <= largest).withColumn("_g", F.pmod(F.xxhash64("component"), F.greatest(F.lit(tasks), F.lit(1))))
-    small = small.repartition(tasks, "_g").sortWithinPartitions("component")
-    solved = small.select("component", "l", "r", "score").mapInPandas(_by_component(solve), "l bigint, r bigint, score double")
-    found = solved.unionAll(dominant(placed.where(F.col("size") > largest).select("l", "r", "score")))
+    found = assign_works(works, largest)
     members = grouped.select("component", F.shiftright("node", 1).alias("id"))
     found = found.join(members.toDF("l", "_l"), "l", "left").join(members.toDF("r", "_r"), "r", "left")
     share = 1 / (1 + F.exp(-(F.col("score") - 4.0)))

@@ -229,6 +229,15 @@ def test_trie_join_matches_brute_force(spark):
     assert got == want
 
 
+def test_works_are_assigned_exactly_at_any_size(spark):
+    import inspect
+
+    assert inspect.signature(matching.match_works).parameters["largest"].default is None
+    pairs = [(2 * (3 * c + i), 2 * (3 * c + j) + 1, s) for c in range(40) for i, j, s in ((0, 0, 4.2), (0, 1, 4.4), (1, 1, 4.3))]  # the best pair alone leaves two works out
+    got = {(r["l"], r["r"]) for r in matching.assign_works(spark.createDataFrame(pairs, "l bigint, r bigint, score double")).collect()}
+    assert got == {(a, b) for a, b, s in pairs if s != 4.4}
+
+
 def test_near_words_of_all_lengths_meet(spark):
     rng = random.Random(5)
     words = {"john", "jhon", "jonh", "lima", "milan", "aaaa"}
