@@ -15,10 +15,10 @@ from evispark.session import cut
 BLOCK, CELLS = 16_384, 1 << 19
 
 
-def blocked(sets: DataFrame, upper: bool = False) -> tuple[DataFrame, DataFrame]:
+def blocked(sets: DataFrame, block: int, upper: bool = False) -> tuple[DataFrame, DataFrame]:
     """Both sides of the grid over `sets` (id and columns), each row with the blocks `i` and `j` of the tasks that need it, of the right side with `_` after all names; with `upper` only those with i <= j."""
     s = cut(sets)
-    n = max(1, -(-s.count() // BLOCK))
+    n = max(1, -(-s.count() // block))
     own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = F.sequence(F.lit(0), F.lit(n - 1))
     left = s.withColumn("i", own).withColumn("j", F.explode(F.filter(every, lambda b: b >= F.col("i")) if upper else every))
@@ -98,7 +98,46 @@ def best_pairs(sets: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"me": mine[lo + r], "other": names[c], "s": s / 1e9, "shared": shared}))
         return pd.concat(out)
 
-    left, right = blocked(sets)
+    left, right = blocked(sets, BLOCK)
     near = left.drop("weights").groupBy("i", "j").cogroup(right.groupBy("i_", "j_")).applyInPandas(best, "me string, other string, s double, shared bigint")
     rank = F.row_number().over(Window.partitionBy("me").orderBy(F.desc("s"), F.desc("other")))
     return near.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+
+#: Members of one block where every pair may be a result.
+DENSE_BLOCK = 2_048
+
+
+def overlapping(sets: DataFrame, fields: list[str], least: float) -> DataFrame:
+    """(a, b, best) with a < b over `sets` (id bigint; of each field its items, array<bigint>): pairs that share at least `least` of the smaller set of a field, with the greatest such share, six digits. Exact; pairs go from the task that finds them straight to the result."""
+
+    def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b, best = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(left) and len(right):
+            right = right.rename(columns=lambda c: c.removesuffix("_"))
+            x, y = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
+            inner = left["i"].iloc[0] == left["j"].iloc[0]
+            p = [Postings(right[f]) for f in fields]
+            size = [(left[f].map(len).to_numpy(np.int64), right[f].map(len).to_numpy(np.int64)) for f in fields]
+            step = max(1, CELLS // len(right))
+            for lo in range(0, len(left), step):
+                n = min(step, len(left) - lo)
+                top = np.zeros(n * len(right))
+                for f, post, (nx, ny) in zip(fields, p, size):
+                    rows, items = np.repeat(np.arange(n), nx[lo : lo + n]), np.concatenate(left[f].iloc[lo : lo + n].to_list()).astype(np.int64)
+                    got = post.sums(rows, items, n).ravel()
+                    at = np.flatnonzero(got)
+                    smaller = np.minimum(nx[lo + at // len(right)], ny[at % len(right)])
+                    ok = got[at] >= least * smaller - 1e-9
+                    at = at[ok]
+                    top[at] = np.maximum(top[at], got[at] / smaller[ok])
+                at = np.flatnonzero(top)
+                one, other = x[lo + at // len(right)], y[at % len(right)]
+                keep = one < other if inner else slice(None)
+                a.append(np.minimum(one, other)[keep])
+                b.append(np.maximum(one, other)[keep])
+                best.append(np.floor(top[at][keep] * 1e6 + 0.5) / 1e6)
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "best": np.concatenate(best)})
+
+    left, right = blocked(sets, DENSE_BLOCK, upper=True)
+    return left.groupBy("i", "j").cogroup(right.groupBy("i_", "j_")).applyInPandas(pairs, "a bigint, b bigint, best double")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.keys import norm_key
+from evispark.operators.grid import overlapping
+from evispark.session import cut, shuffled
 
 
 def token_overlap(df: DataFrame, key: str, text: str, least: float = 0.72) -> DataFrame:
@@ -26,6 +28,16 @@ def token_overlap(df: DataFrame, key: str, text: str, least: float = 0.72) -> Da
     return both.where(F.col("shared") >= F.lit(least) * F.col("smaller") - 1e-9)
 
 
+def best_overlap(df: DataFrame, key: str, texts: dict[str, Column], least: float = 0.72) -> DataFrame:
+    """(a, b, best) with a < b: pairs whose word sets share at least `least` of the smaller one in any of `texts`, with the greatest share (see `token_overlap`), six digits. Made for tables where most pairs are results: no pair is shuffled."""
+    one = df.select(F.col(key).cast("bigint").alias("id"), *[F.array_distinct(F.split(norm_key(c), " ")).alias(f) for f, c in texts.items()]).where("id is not null").dropDuplicates(["id"])
+    words = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.array_remove(F.coalesce(f, F.array().cast("array<string>")), "").alias("w")) for f in texts]))
+    tokens = cut(one.select("id", words.alias("t")).select("id", "t.f", F.explode("t.w").alias("word")))
+    number = cut(tokens.select("word").distinct().withColumn("item", F.monotonically_increasing_id()))
+    items = [F.collect_list(F.when(F.col("f") == f, F.col("item"))).alias(f) for f in texts]  # the words of one text
+    return overlapping(tokens.join(shuffled(number), "word").groupBy("id").agg(*items), list(texts), least)
+
+
 def profile(name: Column) -> Column:
     """Processing profile of a file or title text: index matter, other scripts, or mainline. Null counts as empty."""
     t = F.coalesce(name, F.lit(""))

@@ -91,9 +91,7 @@ def in10_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def in11_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Duplicate candidates by the best overlap of title, URL and authors."""
     a = latest(table(spark, sf, "articles"), ["article_id"], "exported_at", ["title", "url", "authors"])
-    parts = [N.token_overlap(a.withColumn("t", c), "article_id", "t") for c in (F.col("title"), F.col("url"), F.array_join("authors", " "))]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return every.groupBy("a", "b").agg(F.round(F.max(F.col("shared") / F.col("smaller")), 6).alias("best"))
+    return N.best_overlap(a, "article_id", {"title": F.col("title"), "url": F.col("url"), "authors": F.array_join("authors", " ")})
 
 
 def in12_refresh(spark: SparkSession, sf: str) -> DataFrame:

@@ -73,6 +73,29 @@ def test_best_pairs_by_blocks_are_those_of_all_pairs(spark, monkeypatch):
     assert time.monotonic() - began < 60
 
 
+def test_best_overlap_by_blocks_is_that_of_all_pairs(spark, monkeypatch):
+    from evispark.operators import grid, intake
+
+    rng = random.Random(9)
+    data = [(i, rng.choice([None, "", " ".join(rng.choices("abcdef", k=rng.randrange(1, 6)))]), "www.x.org/" + rng.choice("pqr")) for i in range(70)] + [(None, "a", "b")]
+    words = lambda t: set((t or "").replace(".", " ").replace("/", " ").split())
+    want = set()
+    for a, *x in data[:-1]:
+        for b, *y in data[a + 1 : -1]:
+            share = [len(words(u) & words(v)) / m for u, v in zip(x, y) if (m := min(len(words(u)), len(words(v))))]
+            want |= {(a, b, round(max(share), 6))} if max(share) >= 0.72 else set()
+    df = spark.createDataFrame(data, "id bigint, t string, u string")
+    for block in (2_048, 11):
+        monkeypatch.setattr(grid, "DENSE_BLOCK", block)
+        got = intake.best_overlap(df, "id", {"t": F.col("t"), "u": F.col("u")}).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+    monkeypatch.setattr(grid, "DENSE_BLOCK", 2_048)
+    many = spark.range(6_000).selectExpr("id", "concat('https://www.example.org/', id) as u")
+    began = time.monotonic()
+    assert intake.best_overlap(many, "id", {"u": F.col("u")}).where("best = 0.8").count() == 6_000 * 5_999 // 2
+    assert time.monotonic() - began < 60
+
+
 def test_sources_by_words_are_those_of_all_files_and_common_words_cost_nothing(spark):
     rng = random.Random(6)
     word = [f"word{c}" for c in "abcdefghijkl"]
