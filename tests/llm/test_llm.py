@@ -453,3 +453,16 @@ def test_subjects_held_out(spark):
     right = sum(got[k] == truth[k] for k in truth if k % 5 > 1)
     assert right >= 0.93 * sum(1 for k in truth if k % 5 > 1) and not any(got[k] for k in (900, 901, 902))
     assert subjects.assign(d, l.limit(0), areas).count() == 0 and subjects.assign(d, l, areas.limit(0)).count() == 0 and subjects.assign(d.limit(0), l, areas).count() == 0
+
+
+def test_subjects_keep_terms_off_the_driver(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(subjects, "count_terms", lambda *a: pytest.fail("terms on the driver"))
+    docs = [(i, _doc(rng, [(t, 6)]), "s", "k") for i in range(90) for t in [sorted(TOPICS)[i % 3]]]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string, section_kind string")
+    l = spark.createDataFrame([(i, sorted(TOPICS)[i % 3]) for i in range(60)], "doc_id bigint, subject string")
+    areas = spark.createDataFrame([(t, " ".join(w)) for t, w in TOPICS.items()], "subject string, description string")
+    want = {(i, sorted(TOPICS)[i % 3]) for i in range(90)}
+    for chunk in (4_000_000, 500):  # one chunk or many: the same subjects
+        monkeypatch.setattr(subjects, "CHUNK", chunk)
+        assert {(r[0], r[1]) for r in subjects.assign(d, l, areas).collect()} == want
