@@ -9,21 +9,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evispark.session import cut
+from evispark.session import broadcast_checked, cut
 
 #: Members of one block, and sums that a task holds at once.
 BLOCK, CELLS = 16_384, 1 << 19
 
 
-def blocked(sets: DataFrame, block: int, upper: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the grid over `sets` (id and columns), each row with the blocks `i` and `j` of the tasks that need it, of the right side with `_` after all names; with `upper` only those with i <= j."""
-    s = cut(sets)
-    n = max(1, -(-s.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    left = s.withColumn("i", own).withColumn("j", F.explode(F.filter(every, lambda b: b >= F.col("i")) if upper else every))
-    right = s.withColumn("j", own).withColumn("i", F.explode(F.filter(every, lambda b: b <= F.col("j")) if upper else every))
-    tasks = n * (n + 1) // 2 if upper else n * n
+def blocked(sets: DataFrame, block: int, upper: bool = False, mine: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the grid over `sets` (id and columns), each row with the blocks `i` and `j` of the tasks that need it, of the right side with `_` after all names; with `upper` only those with i <= j. With `mine` (id) the left side has only those of its members, in blocks of their own."""
+    s = rows = cut(sets)
+    n = m = max(1, -(-s.count() // block))
+    if mine is not None:
+        rows = cut(s.join(broadcast_checked(mine.select("id").distinct()), "id", "left_semi"))
+        m = max(1, -(-rows.count() // block))
+    own = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.sequence(F.lit(0), F.lit(k - 1))
+    left = rows.withColumn("i", own(m)).withColumn("j", F.explode(F.filter(every(n), lambda b: b >= F.col("i")) if upper else every(n)))
+    right = s.withColumn("j", own(n)).withColumn("i", F.explode(F.filter(every(m), lambda b: b <= F.col("j")) if upper else every(m)))
+    tasks = n * (n + 1) // 2 if upper else m * n
     parts = min(4 * tasks, 4_096)
     right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])  # columns of its own, as both sides stem from one table
     return left.repartition(parts, "i", "j"), right.repartition(parts, "i_", "j_")
@@ -59,8 +62,8 @@ def chunks(lists: pd.Series, width: int) -> Iterator[tuple[int, int, np.ndarray,
         yield at, at + len(part), np.repeat(np.arange(len(part)), size), np.concatenate(part.to_list()).astype(np.int64)
 
 
-def best_pairs(sets: DataFrame, k: int) -> DataFrame:
-    """(me, other, s, shared): for each of `sets` (id string, items array<bigint>, weights array<double>) the k others of the greatest sum of common weights, rounded to 1e-9 and above 0, ties to the larger id. Exact."""
+def best_pairs(sets: DataFrame, k: int, mine: DataFrame | None = None) -> DataFrame:
+    """(me, other, s, shared): for each of `sets` (id string, items array<bigint>, weights array<double>) the k others of the greatest sum of common weights, rounded to 1e-9 and above 0, ties to the larger id. Exact. With `mine` (id) only for those of its members, the others still being all."""
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"me": [], "other": [], "s": [], "shared": []}).astype({"me": object, "other": object, "s": float, "shared": "int64"})
@@ -98,7 +101,7 @@ def best_pairs(sets: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"me": mine[lo + r], "other": names[c], "s": s / 1e9, "shared": shared}))
         return pd.concat(out)
 
-    left, right = blocked(sets, BLOCK)
+    left, right = blocked(sets, BLOCK, mine=mine)
     near = left.drop("weights").groupBy("i", "j").cogroup(right.groupBy("i_", "j_")).applyInPandas(best, "me string, other string, s double, shared bigint")
     rank = F.row_number().over(Window.partitionBy("me").orderBy(F.desc("s"), F.desc("other")))
     return near.withColumn("r", rank).where(F.col("r") <= k).drop("r")

@@ -78,8 +78,8 @@ def _verdicts(c: DataFrame) -> DataFrame:
     return c.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), relation.alias("relation"), F.when(k == 2, F.col("a")).when(k == 5, F.col("b")).alias("base"), F.concat(F.lit("by rule "), k.cast("string")).alias("rationale"))
 
 
-def _typed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    c = cut(c3_candidate_edges(spark, sf))
+def _typed(spark: SparkSession, sf: str, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    c = cut(c3_candidate_edges(spark, sf, among))
     return C.typed_edges(c, _verdicts(c))
 
 
@@ -229,7 +229,7 @@ def pf6_claims(spark: SparkSession, sf: str) -> DataFrame:
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     i = cut(_inputs(spark, sf))
     chosen = cut(_chosen(spark, sf, i))
-    return P.metrics(chosen, i, P.internal_edges(chosen, _typed(spark, sf)[0]), i.where("paper_id like '%1' or paper_id like '%2'").select("paper_id"), _candidates(spark))
+    return P.metrics(chosen, i, P.internal_edges(chosen, _typed(spark, sf, chosen)[0]), i.where("paper_id like '%1' or paper_id like '%2'").select("paper_id"), _candidates(spark))
 
 
 def pf7_metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -73,6 +73,32 @@ def test_best_pairs_by_blocks_are_those_of_all_pairs(spark, monkeypatch):
     assert time.monotonic() - began < 60
 
 
+def test_portfolio_weighs_pairs_of_chosen_papers_only(spark, sf, monkeypatch):
+    from evispark.operators import grid
+    from evispark.plans import connect_queries, graph_queries
+
+    rng = random.Random(10)
+    sets = [(f"p{i}", its, [0.5 + x % 3 for x in its]) for i in range(80) if (its := sorted(rng.sample(range(9), rng.randrange(1, 6))))]
+    f = spark.createDataFrame(sets, "id string, items array<bigint>, weights array<double>")
+    mine = spark.createDataFrame([(f"p{i}",) for i in [*range(0, 80, 4), 4, 99]], "id string")
+    whole = set(map(tuple, grid.best_pairs(f, 4).collect()))
+    for block in (16_384, 13):
+        monkeypatch.setattr(grid, "BLOCK", block)
+        got = grid.best_pairs(f, 4, mine).collect()
+        assert len(got) == 80 and set(map(tuple, got)) == {r for r in whole if int(r[0][1:]) % 4 == 0}
+    assert grid.best_pairs(f, 4, mine.where("id = 'p99'")).count() == 0
+    chosen = connect_queries._chosen(spark, sf).select("paper_id").distinct().cache()
+    few, edges = {r[0] for r in chosen.collect()}, rows(graph_queries.c3_candidate_edges(spark, sf))
+    assert rows(graph_queries.c3_candidate_edges(spark, sf, chosen)) == [e for e in edges if e[0] in few and e[1] in few]
+    part = chosen.orderBy("paper_id").limit(12)
+    some = {r[0] for r in part.collect()}
+    assert rows(graph_queries.c3_candidate_edges(spark, sf, part)) == [e for e in edges if e[0] in some and e[1] in some]
+    asked, plain = [], graph_queries.best_pairs
+    monkeypatch.setattr(graph_queries, "best_pairs", lambda s, k, *m: asked.append([{r[0] for r in x.select("id").collect()} for x in m]) or plain(s, k, *m))
+    assert connect_queries.pf8_recommended(spark, sf).count() > 0
+    assert asked == [[few]]
+
+
 def test_best_overlap_by_blocks_is_that_of_all_pairs(spark, monkeypatch):
     from evispark.operators import grid, intake
 
